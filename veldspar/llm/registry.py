@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, mixing
+from . import decontamination, fingerprints, mixing, secrets, tokens
 from ._spark import table
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": lambda spark, d: decontamination.op1(table(spark, d, "documents"), table(spark, d, "benchmark")),
+        "op3_fingerprints": lambda spark, d: fingerprints.op3(table(spark, d, "documents")),
+        "op4_tokens": lambda spark, d: tokens.op4(table(spark, d, "documents")),
+        "op5_secrets": lambda spark, d: secrets.op5(table(spark, d, "documents")),
         "op10_mixing": lambda spark, d: mixing.op10(table(spark, d, "documents")),
     }
 
