@@ -136,7 +136,8 @@ def shingle_hashes(raw: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np
         rolled += padded[k : k + len(h)] * factors[k]
     at = np.repeat(first[:-1] - out_offsets[:-1], counts) + np.arange(out_offsets[-1])
     out = fmix(rolled[at])
+    sizes = fmix(np.arange(words, dtype=np.uint64) + np.uint64(0xE7037ED1A0B428DB))
     for i in np.flatnonzero((n_words > 0) & (n_words < words)):
         own = h[first[i] : first[i + 1]]
-        out[out_offsets[i]] = fmix((own * factors[: len(own)]).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(own)) * np.uint64(0xE7037ED1A0B428DB))[0]
+        out[out_offsets[i]] = fmix((own * factors[: len(own)]).sum(dtype=np.uint64, keepdims=True) + sizes[len(own) : len(own) + 1])[0]
     return out, out_offsets, n_words

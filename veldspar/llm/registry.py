@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, fingerprints, mixing, secrets, tokens
+from . import decontamination, fingerprints, mixing, near_dedup, secrets, tokens
 from ._spark import table
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": lambda spark, d: decontamination.op1(table(spark, d, "documents"), table(spark, d, "benchmark")),
+        "op2_near_dedup": lambda spark, d: near_dedup.op2(table(spark, d, "documents")),
         "op3_fingerprints": lambda spark, d: fingerprints.op3(table(spark, d, "documents")),
         "op4_tokens": lambda spark, d: tokens.op4(table(spark, d, "documents")),
         "op5_secrets": lambda spark, d: secrets.op5(table(spark, d, "documents")),
@@ -21,4 +22,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": decontamination.OP1_SQL, "op10_mixing": mixing.OP10_SQL}
+    return {"op1_decontamination": decontamination.OP1_SQL, "op2_near_dedup": near_dedup.OP2_SQL, "op10_mixing": mixing.OP10_SQL}
