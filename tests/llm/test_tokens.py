@@ -44,7 +44,7 @@ def test_forgetting_changes_nothing(texts, tokenizer, monkeypatch):
 def test_selective_reads(spark, docs):
     path = T.write_tokens(docs, new_path(spark, "t"))
     plan = T.read_tokens(spark, path, tokens=False)._jdf.queryExecution().executedPlan().toString()
-    assert "tokens" not in plan.split("ReadSchema")[1].split("\n")[0]
+    assert "tokens:array" not in plan
     assert "tokens" not in T.read_tokens(spark, path, tokens=False).columns
 
 
