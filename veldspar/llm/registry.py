@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, fingerprints, language_id, mixing, near_dedup, quality, secrets, tokens, toxicity
+from . import decontamination, fingerprints, language_id, mixing, near_dedup, pii, quality, secrets, tokens, toxicity
 from ._spark import table
 
 
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_secrets": lambda spark, d: secrets.op5(table(spark, d, "documents")),
         "op6_toxicity": lambda spark, d: toxicity.op6(table(spark, d, "documents"), table(spark, d, "labels")),
         "op7_language": lambda spark, d: language_id.op7(table(spark, d, "documents")),
+        "op8_pii": lambda spark, d: pii.op8(table(spark, d, "documents")),
         "op9_quality": lambda spark, d: quality.op9(table(spark, d, "documents"), table(spark, d, "labels")),
         "op10_mixing": lambda spark, d: mixing.op10(table(spark, d, "documents")),
     }
