@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
 from . import decontamination, fingerprints, language_id, mixing, near_dedup, pii, quality, secrets, tokens, toxicity
 from ._spark import table
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_decontamination": lambda spark, d: decontamination.op1(table(spark, d, "documents"), table(spark, d, "benchmark")),
         "op2_near_dedup": lambda spark, d: near_dedup.op2(table(spark, d, "documents")),
         "op3_fingerprints": lambda spark, d: fingerprints.op3(table(spark, d, "documents")),
@@ -26,4 +29,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": decontamination.OP1_SQL, "op2_near_dedup": near_dedup.OP2_SQL, "op10_mixing": mixing.OP10_SQL}
+    return ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}) | {"op1_decontamination": decontamination.OP1_SQL, "op2_near_dedup": near_dedup.OP2_SQL, "op10_mixing": mixing.OP10_SQL}
