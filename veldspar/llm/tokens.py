@@ -6,9 +6,12 @@ before compression), row groups and pages are kept small, and Parquet's page ind
 pages of a doc_id range only; metadata reads leave the token pages alone. A manifest beside it has, for each file,
 the number of ids in all files before it, so that `start` is known without touching a token.
 
-Texts are cut at blanks, tabs and line ends, each of which the tokenizer drops, and every distinct piece is encoded
-once by the tokenizers library; the ids of a text are those of its pieces, one after another. (The tokenizer's
-normaliser and its split never look over white space, so this is exact; the tests compare with whole texts.)
+Texts are cut at blanks, tabs and line ends, each of which the tokenizer drops, and between an ASCII letter and one
+of .,;:!? on either side, where the tokenizer cuts as well; A-Z are lowered first, as the tokenizer does (not in a
+block that holds a combining mark or a special token's beginning, where that could differ). Every distinct piece is
+encoded once by the tokenizers library; the ids of a text are those of its pieces, one after another. (The
+tokenizer's normaliser and its split never look over such a cut, so this is exact; the tests compare with whole
+texts.) A worker keeps its pieces from task to task.
 
 Defined cases: a null or empty text has the end id only; null doc_ids come first; rows with a repeated doc_id are
 ordered by text; other columns are left out; an empty table gives an empty result.
@@ -30,7 +33,7 @@ from ._spark import new_path, tune
 
 END_ID = 1
 #: Distinct pieces that a worker remembers before it starts anew.
-MEMORY = 1 << 18
+MEMORY = 1 << 19
 LAYOUT = {"compression": "zstd", "parquet.block.size": str(32 << 20), "parquet.page.size": str(256 << 10), "parquet.page.row.count.limit": "512", "parquet.enable.dictionary": "true"}
 SCHEMA = "doc_id long, first long, n_tokens long, tokens array<int>"
 
@@ -49,6 +52,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ending = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ending[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
         self.forget()
 
     def forget(self) -> None:
@@ -61,41 +67,77 @@ class Encoder:
         if self.size + len(distinct) > MEMORY:
             self.forget()
         new = [x for x in distinct if x not in self.known]
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            got = [e.ids for e in self.tokenizer.encode_batch_fast([x.decode() for x in some], add_special_tokens=False)]
-            lengths = np.fromiter(map(len, got), np.int64, len(got))
-            while self.size + len(some) + 1 > len(self.ends):
-                self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-            begin = self.ends[self.size]
-            self.ends[self.size + 1 : self.size + 1 + len(some)] = begin + np.cumsum(lengths)
-            total = int(lengths.sum())
-            while begin + total > len(self.values):
-                self.values = np.concatenate([self.values, np.zeros_like(self.values)])
-            self.values[begin : begin + total] = np.fromiter((i for ids in got for i in ids), np.int32, total)
-            self.known.update(zip(some, range(self.size, self.size + len(some)), strict=True))
-            self.size += len(some)
+        if new:
+            texts = [x.decode() for x in new]
+            letters = [x.isalpha() for x in texts]
+            for plain in (True, False):
+                some = [i for i, x in enumerate(letters) if x is plain]
+                for at in range(0, len(some), 4096):
+                    part = some[at : at + 4096]
+                    ids, lengths = self._encoded([texts[i] for i in part], plain)
+                    self._keep([new[i] for i in part], ids, lengths)
         return np.fromiter((self.known[x] for x in distinct), np.int64, len(distinct))
 
+    def _encoded(self, texts: list[str], letters: bool) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and how many belong to each text. Words of letters go as one text: each is one word to the
+        tokenizer too, and ends with its only id that has the end-of-word mark. (If the marks are more than the
+        words, some word wasn't one; then all are encoded apart.)"""
+        if letters:
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(texts)], add_special_tokens=False)[0].ids, np.int32)
+            ends = np.flatnonzero(self.ending[ids])
+            if len(ends) == len(texts):
+                return ids, np.diff(ends, prepend=-1)
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        lengths = np.fromiter(map(len, got), np.int64, len(got))
+        return np.fromiter((i for x in got for i in x), np.int32, int(lengths.sum())), lengths
+
+    def _keep(self, pieces: list[bytes], ids: np.ndarray, lengths: np.ndarray) -> None:
+        while self.size + len(pieces) + 1 > len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        begin = self.ends[self.size]
+        self.ends[self.size + 1 : self.size + 1 + len(pieces)] = begin + np.cumsum(lengths)
+        while begin + len(ids) > len(self.values):
+            self.values = np.concatenate([self.values, np.zeros_like(self.values)])
+        self.values[begin : begin + len(ids)] = ids
+        self.known.update(zip(pieces, range(self.size, self.size + len(pieces)), strict=True))
+        self.size += len(pieces)
+
     def encode(self, texts: pa.Array) -> pa.ListArray:
         """The ids of each text with the end id after them."""
         raw, offsets = X.buffers(texts)
+        if b"<|" not in raw.tobytes() and not _MARK[raw].any():
+            raw = X.LOWER[raw]
         inside = ~_CUT[raw]
-        starts, ends, first = X.spans(inside, offsets)
+        kind = _KIND[raw]
+        starts, ends, first = X.spans(inside, offsets, np.flatnonzero(kind[1:] + kind[:-1] == 3) + 1)
         at = np.concatenate([[0], np.cumsum(ends - starts)])
         words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(raw[inside])])
         coded = words.dictionary_encode()
         numbers = self.pieces(coded.dictionary.to_pylist())
         piece = numbers[coded.indices.to_numpy(zero_copy_only=False)] if len(starts) else np.zeros(0, np.int64)
         piece = np.insert(piece, first[1:], 0)
-        begin, lengths = self.ends[piece], self.ends[piece + 1] - self.ends[piece]
-        upto = np.concatenate([[0], np.cumsum(lengths)])
-        ids = self.values[np.arange(upto[-1]) + np.repeat(begin - upto[:-1], lengths)]
+        begin, lengths = self.ends[piece].astype(np.int32), (self.ends[piece + 1] - self.ends[piece]).astype(np.int32)
+        upto = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+        ids = self.values[np.arange(upto[-1], dtype=np.int32) + np.repeat(begin - upto[:-1].astype(np.int32), lengths)]
         text_ends = upto[first + np.arange(len(first))]
         return pa.ListArray.from_arrays(pa.array(text_ends.astype(np.int32)), pa.array(ids))
 
 
 _CUT = np.isin(np.arange(256), [32, 9, 10, 13])
+#: 1 for ASCII letters, 2 for .,;:!? and a number whose sums never give 3 for the rest.
+_KIND = np.full(256, 8, np.uint8)
+_KIND[65:91] = _KIND[97:123] = 1
+_KIND[[ord(c) for c in ".,;:!?"]] = 2
+#: First bytes of U+0300 to U+036F.
+_MARK = np.isin(np.arange(256), [0xCC, 0xCD])
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None) -> str:
@@ -105,7 +147,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None) -> st
     tokenizer = tokenizer or tokenizer_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, done = Encoder(tokenizer), 0
+        encoder, done = encoder_of(tokenizer), 0
         for block in X.blocks(batches, 1, 4 << 20):
             ids = encoder.encode(block.column(1))
             ends = ids.offsets.to_numpy().astype(np.int64)
