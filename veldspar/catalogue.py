@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules of veldspar.plans, each with QUERIES: name -> (function(spark, sf_dir), SQL or None).
-MODULES: tuple[str, ...] = ("rolling",)
+MODULES: tuple[str, ...] = ("relational", "rolling", "values", "relations")
 
 
 def _all() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
@@ -28,4 +28,7 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """As-of join of purchases with the clicks before them: the latest click of the same user."""
+    from veldspar.plans.relations import QUERIES
+
+    return QUERIES["JN01_asof"][0](spark, sf_dir)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -137,8 +139,6 @@ def refdata_get(df: DataFrame, reference: DataFrame, domain: str, key: str, as_o
 
 def vector_udf(fn, returns: str = "double"):
     """A user's function of a numpy array as an Arrow-batched scalar function."""
-    import pandas as pd
-
     def run(x: pd.Series) -> pd.Series:
         return pd.Series(fn(x.to_numpy()))
 
