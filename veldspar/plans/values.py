@@ -7,10 +7,9 @@ import math
 from pyspark.sql import functions as F
 
 from veldspar.functions import scalars as C
-from veldspar.functions.series import mavg
 from veldspar.operators import aggregates as A
 
-from ._base import BARS, Query, W, bars, last, nanos, r, rs, series, table
+from ._base import BARS, Query, W, bars, nanos, r, rs, series, table
 
 OPTIONS = """WITH q AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN 'call' ELSE 'Put' END AS kind, p_retailprice AS s, 900 + (p_partkey % 50) * 10.0::DOUBLE AS k,
   CASE WHEN p_partkey % 17 = 0 THEN 0.0::DOUBLE ELSE p_size / 25.0::DOUBLE END AS t, 0.03::DOUBLE AS r, CASE WHEN p_partkey % 19 = 0 THEN 0.0::DOUBLE ELSE 0.1::DOUBLE + (p_partkey % 7) / 20.0::DOUBLE END AS v FROM part),
@@ -59,15 +58,6 @@ RETN = [f"ret_{i}" for i in range(4)]
 WIDE = BARS + ", w AS (SELECT c AS ret_0, v AS ret_1, x AS ret_2, c * v / 100 AS ret_3 FROM bars)"
 
 
-def _trade_trigger(spark, d):
-    """TRD01: crossings of the price over its moving mean."""
-    s = mavg(series(spark, d), "c", 20, "m")
-    s = s.put("above", F.col("c") > F.col("m"))
-    before = s.lag("above")
-    side = F.when(F.col("above") & ~before, 0).when(~F.col("above") & before, 1).otherwise(2)
-    return s.put("side", F.coalesce(side, F.lit(2))).df.select("event_id", "side", r("c").alias("price"), F.when(F.col("side") == 2, 0).otherwise(100).alias("qty"))
-
-
 def _forecasts(spark, d):
     e = EVENTS(spark, d)
     return e.select("event_id", ((F.col("user_id") % 100) / 100.0 + 0.005).alias("p"), (F.col("value") > 35).cast("int").alias("y"))
@@ -140,8 +130,4 @@ t AS (SELECT *, (a + 0.5::DOUBLE) / (sum(a) OVER () + 5) AS pa, (e + 0.5::DOUBLE
 SELECT (SELECT count(*) FROM x) AS n, (SELECT {rs('avg(hit::INT)')} FROM x) AS hit_rate, (SELECT {rs('avg((p - y) ** 2)')} FROM x) AS brier, (SELECT {rs('sum(gap) / sum(n)')} FROM b) AS ece,
   (SELECT {rs('sum((pe - pa) * ln(pe / pa))')} FROM t) AS psi, (SELECT count(*) FROM x WHERE strong) AS strong_n, (SELECT {rs('avg(hit::INT)')} FROM x WHERE strong) AS strong_hit""",
     ),
-    "TRD01_tick_to_trade": (
-        _trade_trigger,
-        BARS + f", m AS (SELECT *, c > avg(c) OVER {last(20)} AS above FROM bars), s AS (SELECT *, lag(above) OVER {W} AS b FROM m) SELECT event_id, CASE WHEN above AND NOT b THEN 0 WHEN NOT above AND b THEN 1 ELSE 2 END AS side, {rs('c')} AS price, CASE WHEN above <> b THEN 100 ELSE 0 END AS qty FROM s",
-    ),
 }
