@@ -181,8 +181,8 @@ def optionality_charge(cells: DataFrame) -> DataFrame:
 # --- rate shocks
 
 #: Supervisory shocks in basis points (parallel, short, long) by currency, before and from 2026.
-SHOCKS_2018 = {"AUD": (300, 450, 200), "CAD": (200, 300, 150), "CHF": (100, 150, 100), "CNY": (250, 300, 150), "EUR": (200, 250, 100), "GBP": (250, 300, 150), "HKD": (200, 250, 100), "JPY": (100, 100, 100), "USD": (200, 300, 150)}
-SHOCKS_2026 = {"AUD": (350, 425, 300), "CAD": (200, 275, 175), "CHF": (175, 250, 200), "CNY": (225, 300, 150), "EUR": (225, 350, 200), "GBP": (275, 425, 250), "HKD": (225, 375, 200), "JPY": (100, 100, 100), "USD": (200, 300, 225)}
+SHOCKS_2018 = {"ARS": (400, 500, 300), "AUD": (300, 450, 200), "BRL": (400, 500, 300), "CAD": (200, 300, 150), "CHF": (100, 150, 100), "CNH": (250, 300, 150), "CNY": (250, 300, 150), "EUR": (200, 250, 100), "GBP": (250, 300, 150), "HKD": (200, 250, 100), "IDR": (400, 500, 300), "INR": (400, 500, 300), "JPY": (100, 100, 100), "KRW": (300, 400, 200), "MXN": (400, 500, 300), "RUB": (400, 500, 300), "SAR": (200, 300, 150), "SEK": (200, 300, 150), "SGD": (150, 200, 100), "TRY": (400, 500, 300), "USD": (200, 300, 150), "ZAR": (400, 500, 300)}
+SHOCKS_2026 = {"ARS": (400, 500, 300), "AUD": (350, 425, 300), "BRL": (400, 500, 300), "CAD": (200, 275, 175), "CHF": (175, 250, 200), "CNH": (225, 300, 150), "CNY": (225, 300, 150), "EUR": (225, 350, 200), "GBP": (275, 425, 250), "HKD": (225, 375, 200), "IDR": (400, 500, 300), "INR": (325, 475, 225), "JPY": (100, 100, 100), "KRW": (225, 350, 225), "MXN": (400, 500, 200), "RUB": (400, 500, 300), "SAR": (275, 375, 250), "SEK": (275, 425, 200), "SGD": (175, 250, 225), "TRY": (400, 500, 300), "USD": (200, 300, 225), "ZAR": (325, 500, 300)}
 #: Ends of the 19 standard time bands in years, and their midpoints.
 BAND_ENDS = (1 / 365, 1 / 12, 0.25, 0.5, 0.75, 1, 1.5, 2, 3, 4, 5, 6, 7, 8, 9, 10, 15, 20, math.inf)
 BAND_MIDPOINTS = (0.0028, 0.0417, 0.1667, 0.375, 0.625, 0.875, 1.25, 1.75, 2.5, 3.5, 4.5, 5.5, 6.5, 7.5, 8.5, 9.5, 12.5, 17.5, 25)
