@@ -9,7 +9,8 @@ missed with probability (1 - J^d)^T: 7e-12 for J = 0.8, d = 1 and T = 16.
 
 Comparing goes in two rounds, so that a group of near copies doesn't give all its pairs:
 1. in each node, each member with the node's smallest vertex; the links found give first components;
-2. in nodes that still hold several components, members of different components with each other.
+2. in nodes that still hold several components, members of different components with each other, from the most to
+   the least alike and within the task that holds the node: only links are written, never pairs.
 A pair is put forward if its sketches (128 bytes of minhashes, the path's own among them) agree in so many places
 that a similar pair fails with probability below 1e-4, and if its sizes allow the similarity; then it is confirmed
 on the full sets, recomputed from the whole texts: 100 * |A and B| >= threshold * |A or B|.
@@ -152,24 +153,80 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield X.merged(held)
 
 
-def node_pairs(rows: DataFrame, threshold: int) -> DataFrame:
-    """rows (key, v, c, n, part, sketch) of small nodes -> (key, a, b): pairs of different components whose sizes and
-    sketches allow the similarity. In a node made of two parts, only pairs across them."""
+def _candidates(group: pa.RecordBatch, threshold: int, least: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """rows (key, v, c, n, part, sketch) of one node: for each member, the later members of other components whose
+    sizes and sketches allow the similarity, and how far the sketches agree. In a node of two parts, only across them."""
+    c, n, part = (group.column(k).to_numpy() for k in range(2, 5))
+    sketch, two = _sketches(group.column(5)), part.min() != part.max()
+    for i in range(len(c) - 1):
+        j = np.flatnonzero((c[i + 1 :] != c[i]) & (100 * np.minimum(n[i + 1 :], n[i]) >= threshold * np.maximum(n[i + 1 :], n[i]))) + i + 1
+        j = j[part[j] != part[i]] if two else j
+        agree = (sketch[j] == sketch[i]).sum(1)
+        near = agree >= least
+        if near.any():
+            yield i, j[near], agree[near]
+
+
+NODE = "key long, v long, c long, n long, part int, sketch binary"
+
+
+def node_members(rows: DataFrame, threshold: int) -> DataFrame:
+    """Of the rows of nodes (key, v, c, n, part, sketch), those that have a candidate in their node. Pairs aren't written."""
     least = agreement(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches):
-            v, c, n, part = (group.column(k).to_numpy() for k in range(1, 5))
-            sketch, two = _sketches(group.column(5)), part.min() != part.max()
-            for i in range(len(v) - 1):
-                j = np.flatnonzero((c[i + 1 :] != c[i]) & (100 * np.minimum(n[i + 1 :], n[i]) >= threshold * np.maximum(n[i + 1 :], n[i]))) + i + 1
-                j = j[part[j] != part[i]] if two else j
-                j = j[(sketch[j] == sketch[i]).sum(1) >= least]
-                if len(j):
-                    yield pa.RecordBatch.from_arrays([pa.repeat(group.column(0)[0], len(j)), pa.array(np.minimum(v[i], v[j])), pa.array(np.maximum(v[i], v[j]))], names=["key", "a", "b"])
+            held = np.zeros(group.num_rows, bool)
+            for i, j, _ in _candidates(group, threshold, least):
+                held[i] = held[j] = True
+            if held.any():
+                yield group.filter(pa.array(held))
+
+    return rows.select("key", "v", "c", "n", F.col("part").cast("int").alias("part"), "sketch").repartition("key").sortWithinPartitions("key").mapInArrow(run, NODE)
+
+
+def similar(x: np.ndarray, y: np.ndarray, threshold: int) -> bool:
+    """Whether two sorted sets are; exact."""
+    x, y = (x, y) if len(x) <= len(y) else (y, x)
+    if 100 * len(x) < threshold * len(y):
+        return False
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return 100 * both >= threshold * (len(x) + len(y) - both)
+
 
-    sorted_ = rows.select("key", "v", "c", "n", "part", "sketch").repartition("key").sortWithinPartitions("key")
-    return sorted_.mapInArrow(run, "key long, a long, b long")
+def node_links(members: DataFrame, texts: DataFrame, words: int, threshold: int) -> DataFrame:
+    """(a, b): links between components that the full sets of each node's members confirm. A node's candidates are
+    taken from the most to the least alike, and a pair whose components a link has joined by then isn't looked at: what
+    is written is at most one link less than the node has components."""
+    least = agreement(threshold)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches):
+            sets, v, c = Sets(group.column(6), words), group.column(1).to_pylist(), group.column(2).to_pylist()
+            pairs = [(np.full(len(j), i), j, agree) for i, j, agree in _candidates(group, threshold, least)]
+            if not pairs:
+                continue
+            a, b, agree = (np.concatenate(x) for x in zip(*pairs, strict=True))
+            up: dict[int, int] = {}
+
+            def root(x: int) -> int:
+                while (y := up.get(x, x)) != x:
+                    up[x] = up.get(y, y)
+                    x = up[x]
+                return x
+
+            found = []
+            for k in np.argsort(-agree, kind="stable"):
+                i, j = int(a[k]), int(b[k])
+                x, y = root(c[i]), root(c[j])
+                if x != y and similar(sets[i], sets[j], threshold):
+                    up[x] = y
+                    found.append((v[i], v[j]))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
+
+    sent = members.join(texts, "v").select("key", "v", "c", "n", "part", "sketch", "text").repartition("key").sortWithinPartitions("key")
+    return sent.mapInArrow(run, "a long, b long")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, words: int, threshold: int) -> DataFrame:
@@ -189,12 +246,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, threshold: int) ->
             for i, with_ in enumerate(group.column(2).to_pylist()):
                 for b in with_:
                     for j in place[b]:
-                        x, y = (sets[i], sets[j]) if len(sets[i]) <= len(sets[j]) else (sets[j], sets[i])
-                        if 100 * len(x) < threshold * len(y):
-                            continue
-                        at = np.searchsorted(y, x)
-                        both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-                        if 100 * both >= threshold * (len(x) + len(y) - both):
+                        if similar(sets[i], sets[j], threshold):
                             found.add((v[i], b))
             if found:
                 a, b = zip(*found, strict=True)
@@ -227,7 +279,7 @@ def _keys(level: int) -> Column:
 
 
 def _second_round(vertices: DataFrame, first: DataFrame, threshold: int) -> DataFrame:
-    """(key, a, b) for pairs of different components in nodes of at most SMALL members, by level."""
+    """Members of nodes of at most SMALL members, by level, that have a candidate of another component in their node."""
     rows = vertices.select("v", _keys(1)).join(first, "v", "left").select("tree", "key", "v", F.coalesce("c", "v").alias("c"))
     out: list[DataFrame] = []
     for level in range(1, DEPTH + 1):
@@ -235,7 +287,7 @@ def _second_round(vertices: DataFrame, first: DataFrame, threshold: int) -> Data
         rows = written(rows.join(mixed, "key"), f"level{level}")
         small = rows.where(F.col("members") <= SMALL).select("key", "v", "c", F.lit(0).alias("part"))
         if level == DEPTH:
-            parts = F.ceil(F.col("members") / (SMALL // 8)).cast("int")
+            parts = F.ceil(F.col("members") / max(1, SMALL // 8)).cast("int")
             own = F.pmod(F.xxhash64("v"), parts).cast("int")
             cells = rows.where(F.col("members") > SMALL).withColumns({"parts": parts, "own": own}).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
             small = small.unionByName(cells.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "v", "c", F.col("own").alias("part")))
@@ -248,8 +300,7 @@ def _second_round(vertices: DataFrame, first: DataFrame, threshold: int) -> Data
     every = out[0]
     for x in out[1:]:
         every = every.unionByName(x)
-    found = node_pairs(every.join(vertices.select("v", "n", "sketch"), "v"), threshold)
-    return found.groupBy("a", "b").agg(F.min("key").alias("key")).select("key", "a", "b")
+    return node_members(every.join(vertices.select("v", "n", "sketch"), "v"), threshold)
 
 
 def near_groups(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
@@ -272,8 +323,8 @@ def near_groups(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD)
     links = written(_confirmed(near, own, words, threshold), "links")
     first = components(links)
 
-    crossing = written(_second_round(vertices, first, threshold), "crossing")
-    more = _confirmed(crossing, own, words, threshold)
+    members = written(_second_round(vertices, first, threshold), "members")
+    more = node_links(members, sifted(own, members.select("v")).withColumnRenamed("doc_id", "v"), words, threshold)
     final = components(first.where("v > c").select(F.col("v").alias("a"), F.col("c").alias("b")).unionByName(more))
     placed = classed.select("doc_id", "n", "v").join(final, "v", "left").select("doc_id", "n", F.coalesce("c", "v").alias("component_id"))
     return placed.unionByName(alone)
