@@ -2,6 +2,7 @@
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 from veldspar import catalogue
@@ -11,17 +12,17 @@ TABLES = "region nation customer supplier part orders lineitem events embeddings
 QUERIES, SQL = catalogue.queries(), catalogue.oracle_sql()
 
 
-@pytest.fixture(scope="module")
+@pytest.fixture
 def duck():
     out = duckdb.connect()
     for t in TABLES:
-        out.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
+        out.execute(f"CREATE TABLE {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     return out
 
 
 def rows(df):
     df = df[sorted(df.columns)]
-    out = [tuple(None if x is None or x != x else float(x) if isinstance(x, (float, int, np.number)) and not isinstance(x, bool) else str(x) for x in r) for r in df.astype(object).itertuples(index=False)]
+    out = [tuple(None if pd.isna(x) else float(x) if isinstance(x, (float, int, np.number)) and not isinstance(x, bool) else str(x) for x in r) for r in df.astype(object).itertuples(index=False)]
     return sorted(out, key=lambda r: tuple((x is None, isinstance(x, str), round(x, 3) if isinstance(x, float) else x) for x in r))
 
 

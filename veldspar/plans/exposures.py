@@ -108,7 +108,7 @@ QUERIES: dict[str, Query] = {
         lambda spark, d: _rounded(E.report_parts(_ledger(spark, d), START, END, TIER1, 0.05, 10), "peak", digits=2),
         EV + f""", rep AS (SELECT 'I' AS part, key, measure, peak, peak_at FROM pk WHERE dim = 'lc_group' AND measure = 'after' AND peak >= 0.05 * {TIER1} UNION ALL SELECT 'II', key, measure, peak, peak_at FROM pk WHERE dim = 'lc_group' AND measure = 'before' AND peak >= 0.05 * {TIER1}
 UNION ALL SELECT 'III', key, measure, peak, peak_at FROM pk WHERE dim = 'lc_group' AND measure = 'exempted' AND peak >= 0.05 * {TIER1} UNION ALL SELECT 'IV', key, measure, peak, peak_at FROM pk WHERE dim = 'connected_party' AND measure = 'after' AND peak >= 0
-UNION ALL SELECT * FROM (SELECT 'V', key, measure, peak, peak_at FROM pk WHERE dim = 'entity' AND measure = 'after' ORDER BY peak DESC, key LIMIT 10)) SELECT part, key, measure, {rs('peak', 2)} AS peak, peak_at FROM rep""",
+UNION ALL SELECT 'V', key, measure, peak, peak_at FROM (SELECT *, row_number() OVER (ORDER BY peak DESC, key) AS rk FROM pk WHERE dim = 'entity' AND measure = 'after') WHERE rk <= 10) SELECT part, key, measure, {rs('peak', 2)} AS peak, peak_at FROM rep""",
     ),
     "LE09_ratios": (
         lambda spark, d: _rounded(E.ratios(E.point_exposure(_ledger(spark, d), AT), TIER1), "exposure", "ratio", "headroom"),
