@@ -39,6 +39,8 @@ IDENTITY = (
 )
 #: Lengths of the beginnings of words that are features beside the words.
 PREFIXES = (4, 5, 6)
+#: Texts that are counted at a time.
+PART = 250
 LEAST_TEXTS, L1, SWAPS, SWAP_WEIGHT, STEPS = 8, 1.5e-3, 2000, 2.0, 120
 
 
@@ -60,8 +62,8 @@ def features(words: pa.Array) -> list[pa.Array]:
     return out
 
 
-def _counts(texts: pa.Array, vocabulary: pa.Array | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
-    """Row, feature and log(1 + count) of the features that texts hold; the vocabulary is that of all if none is given."""
+def _pairs(texts: pa.Array, vocabulary: pa.Array | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """Row, feature and count of the features that texts hold; the vocabulary is that of all if none is given."""
     words = Words(texts)
     made = features(words.dictionary)
     if vocabulary is None:
@@ -75,7 +77,35 @@ def _counts(texts: pa.Array, vocabulary: pa.Array | None) -> tuple[np.ndarray, n
         columns.append(column[column >= 0])
     size = max(1, len(vocabulary))
     pair, many = np.unique(np.concatenate(rows) * np.int64(size) + np.concatenate(columns), return_counts=True)
-    return pair // size, pair % size, np.log1p(many), vocabulary
+    return pair // size, pair % size, many, vocabulary
+
+
+def _parts(texts: pa.Array) -> list[tuple[int, pa.Array]]:
+    """Runs of texts, so that what is held for them at a time is bounded."""
+    return [(at, texts.slice(at, PART)) for at in range(0, len(texts), PART)]
+
+
+def _counts(texts: pa.Array, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, feature and log(1 + count) of the vocabulary's features in texts."""
+    rows, columns, values = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.float32)]
+    for at, part in _parts(texts):
+        row, column, many, _ = _pairs(part, vocabulary)
+        rows.append((row + at).astype(np.int32))
+        columns.append(column.astype(np.int32))
+        values.append(np.log1p(many).astype(np.float32))
+    return np.concatenate(rows), np.concatenate(columns), np.concatenate(values)
+
+
+def _frequent(texts: pa.Array) -> list[str]:
+    """Features that LEAST_TEXTS of the texts hold, in order."""
+    found = []
+    for _, part in _parts(texts):
+        _, column, _, vocabulary = _pairs(part, None)
+        found.append(pa.table({"feature": vocabulary, "n": np.bincount(column, minlength=len(vocabulary))}))
+    if not found:
+        return []
+    held = pa.concat_tables(found).group_by("feature").aggregate([("n", "sum")])
+    return sorted(held.filter(pc.greater_equal(held["n_sum"], LEAST_TEXTS))["feature"].to_pylist())
 
 
 def counterfactuals(texts: list[str], n: int = SWAPS, seed: int = 3) -> list[tuple[str, str]]:
@@ -113,13 +143,11 @@ def fit(texts: list[str], labels: list[int], swap_weight: float = SWAP_WEIGHT) -
     pairs = counterfactuals(texts)
     terms = {w for group in IDENTITY for w in group}
     array = pa.array(texts, pa.string())
-    row, column, _, words = _counts(array, None)
-    often = np.bincount(column, minlength=len(words)) >= LEAST_TEXTS
-    known = [w for w, keep in zip(words.to_pylist(), often, strict=True) if keep and w not in terms] + sorted(terms)
+    known = [w for w in _frequent(array) if w not in terms] + sorted(terms)
     vocabulary = pa.array(known, pa.string())
-    row, column, value, _ = _counts(array, vocabulary)
-    ra, ca, va, _ = _counts(pa.array([a for a, _ in pairs], pa.string()), vocabulary)
-    rb, cb, vb, _ = _counts(pa.array([b for _, b in pairs], pa.string()), vocabulary)
+    row, column, value = _counts(array, vocabulary)
+    ra, ca, va = _counts(pa.array([a for a, _ in pairs], pa.string()), vocabulary)
+    rb, cb, vb = _counts(pa.array([b for _, b in pairs], pa.string()), vocabulary)
     dr, dc, dv = np.concatenate([ra, rb]), np.concatenate([ca, cb]), np.concatenate([va, -vb])
     m, d, n_pairs = len(texts), len(known), max(1, len(pairs))
     balance = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9)) ** 0.5
@@ -169,7 +197,7 @@ def _refit(w, bias, held, data, swaps, y, balance, n_pairs, swap_weight, steps=2
 def score_texts(model: Model, texts: pa.Array) -> np.ndarray:
     logit = np.full(len(texts), model.bias)
     if len(model.words):
-        row, column, value, _ = _counts(texts, pa.array(model.words, pa.string()))
+        row, column, value = _counts(texts, pa.array(model.words, pa.string()))
         logit += np.bincount(row, value * model.weights[column], len(texts))
     return _sigmoid(logit)
 
