@@ -136,7 +136,8 @@ def fit(x: np.ndarray, y: np.ndarray) -> Model:
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     texts, y = labelled_sample(docs, labels, "quality", 5, 0, rows)
-    return fit(statistics(pa.array(texts, pa.string())) if texts else np.zeros((0, 14)), np.array(y))
+    parts = [statistics(pa.array(texts[at : at + 100], pa.string())) for at in range(0, len(texts), 100)]  # bounds the driver's memory
+    return fit(np.concatenate(parts) if parts else np.zeros((0, 14)), np.array(y))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
