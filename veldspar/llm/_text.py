@@ -28,6 +28,7 @@ def blocks(batches: Iterator[pa.RecordBatch], column: int, most: int = BLOCK_BYT
                 held, size = [], 0
     if held:
         yield merged(held)
+    pa.default_memory_pool().release_unused()
 
 
 def merged(held: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -99,27 +100,21 @@ def fmix(h: np.ndarray) -> np.ndarray:
 
 _P = 0x9E3779B97F4A7C15 | 1
 _P_INVERSE = pow(_P, -1, 1 << 64)
-_POWERS: list[np.ndarray] = []
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < n:
-        n = max(n, 1 << 20)
-        both = []
-        for base in (_P, _P_INVERSE):
-            out = np.full(n, base, np.uint64)
-            out[0] = 1
-            both.append(np.cumprod(out, dtype=np.uint64))
-        _POWERS[:] = both
-    return _POWERS[0], _POWERS[1]
+def _powers(base: int, n: int) -> np.ndarray:
+    """Made anew for each block: kept, they would be the largest thing that a worker holds."""
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64, out=out)
 
 
 def run_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the bytes of each run: differences of one polynomial prefix sum, then a finaliser with the length."""
-    powers, inverse = _powers(len(raw) + 1)
     sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers[: len(raw)], out=sums[1:])
-    return fmix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _powers(_P, len(raw) + 1)[:-1], out=sums[1:])
+    inverse = _powers(_P_INVERSE, len(raw) + 1)[starts]
+    return fmix((sums[ends] - sums[starts]) * inverse + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def shingle_hashes(raw: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
