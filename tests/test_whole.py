@@ -1,6 +1,7 @@
 """That queries read their whole input: against counts and brute force, not against the SQL beside them."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from veldspar import catalogue
 
@@ -21,3 +22,16 @@ def test_bitemporal_queries_read_all_orders(spark):
     at = 883612800 * 10**9
     assert {r.o_orderkey for r in QUERIES["JN10_as_of_whole"](spark, SF).collect()} == {k for k, t in starts.items() if t <= at < t + 2 * length}
     assert [tuple(r) for r in QUERIES["JN13_commit_as_of_whole"](spark, SF).collect()] == [(300, len(starts))]
+
+
+def test_beneficial_owners_of_all_customers(spark, tmp_path):
+    spark.range(1, 801).select(F.col("id").alias("c_custkey")).write.parquet(f"{tmp_path}/customer.parquet")
+    want, paths = {}, [(k, k, 1.0) for k in range(1, 801)]
+    while paths:
+        company, at, share = paths.pop()
+        if at > 800:
+            want[company, at] = want.get((company, at), 0.0) + share
+        else:
+            paths += [(company, 2 * at + 1, share * 0.6), (company, 2 * at + 2, share * 0.4)]
+    got = {(r.company, r.owner): r.share for r in QUERIES["LE18_beneficial_owners_whole"](spark, str(tmp_path)).collect()}
+    assert got == pytest.approx({k: x for k, x in want.items() if x >= 0.05}, abs=1e-6)

@@ -76,8 +76,17 @@ def _transactions(spark, d):
 TX = "tx AS (SELECT event_id AS tx_id, user_id AS src, (event_id * 7919 + user_id * 31) % 150 AS dst, value AS amount, event_type AS channel, user_id % 7 AS jurisdiction FROM events WHERE value > 120)"
 
 
+def _all_stakes(spark, d):
+    """Every customer is owned by the two of twice its number plus 1 and 2; numbers without a customer have no owner."""
+    return _stakes_of(table(spark, d, "customer").select(F.col("c_custkey").alias("k")))
+
+
 def _stakes(spark, d):
-    c = table(spark, d, "customer").select(F.col("c_custkey").alias("k")).where("k < 300")
+    """Those of the first customers, as the SQL beside LE18_beneficial_owners reads."""
+    return _stakes_of(table(spark, d, "customer").select(F.col("c_custkey").alias("k")).where("k < 300"))
+
+
+def _stakes_of(c):
     return c.select((F.col("k") * 2 + 1).alias("owner"), F.col("k").alias("owned"), F.lit(0.6).alias("pct")).unionByName(c.select((F.col("k") * 2 + 2).alias("owner"), F.col("k").alias("owned"), F.lit(0.4).alias("pct")))
 
 
@@ -147,6 +156,12 @@ SELECT ns AS netting_set, {rs('rc', 4)} AS rc, {rs('addon', 4)} AS addon, {rs('m
         lambda spark, d: _rounded(E.beneficial_owners(_stakes(spark, d), 0.05), "share", digits=6),
         f"""WITH RECURSIVE s AS (SELECT c_custkey * 2 + 1 AS owner, c_custkey AS owned, 0.6::DOUBLE AS pct FROM customer WHERE c_custkey < 300 UNION ALL SELECT c_custkey * 2 + 2, c_custkey, 0.4 FROM customer WHERE c_custkey < 300),
 p AS (SELECT owned AS company, owner, pct AS share FROM s UNION ALL SELECT company, s.owner, share * pct FROM p JOIN s ON s.owned = p.owner)
+SELECT company, owner, {rs('sum(share)')} AS share FROM p WHERE owner NOT IN (SELECT owned FROM s) GROUP BY company, owner HAVING sum(share) >= 0.05""",
+    ),
+    "LE18_beneficial_owners_whole": (
+        lambda spark, d: _rounded(E.beneficial_owners(_all_stakes(spark, d), 0.05), "share", digits=6),
+        f"""WITH RECURSIVE s AS (SELECT c_custkey * 2 + 1 AS owner, c_custkey AS owned, 0.6::DOUBLE AS pct FROM customer UNION ALL SELECT c_custkey * 2 + 2, c_custkey, 0.4 FROM customer),
+p AS (SELECT owned AS company, owner, pct AS share FROM s UNION ALL SELECT company, s.owner, share * pct FROM p JOIN s ON s.owned = p.owner)
 SELECT company, owner, {rs('sum(share)')} AS share FROM p WHERE owner NOT IN (SELECT owned FROM s) GROUP BY company, owner HAVING sum(share) >= 0.05""",
     ),
     "LE19_hybrid_score": (
