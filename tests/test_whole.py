@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veldspar import catalogue
+from veldspar.operators import exposure as E
 
 SF = "/root/testdata/sf0.001"
 QUERIES = catalogue.queries()
@@ -35,3 +36,12 @@ def test_beneficial_owners_of_all_customers(spark, tmp_path):
             paths += [(company, 2 * at + 1, share * 0.6), (company, 2 * at + 2, share * 0.4)]
     got = {(r.company, r.owner): r.share for r in QUERIES["LE18_beneficial_owners_whole"](spark, str(tmp_path)).collect()}
     assert got == pytest.approx({k: x for k, x in want.items() if x >= 0.05}, abs=1e-6)
+
+
+def test_beneficial_owners_at_the_end_of_a_long_chain(spark):
+    stakes = spark.createDataFrame([(i + 1, i, 0.99) for i in range(20)], "owner long, owned long, pct double")
+    got = {r.company: r for r in E.beneficial_owners(stakes, 0.5).collect()}
+    assert sorted(got) == list(range(20)) and {r.owner for r in got.values()} == {20}
+    assert got[0].share == pytest.approx(0.99**20)
+    with pytest.raises(ValueError):
+        E.beneficial_owners(stakes, 0.5, depth=3)

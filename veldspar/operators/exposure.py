@@ -192,17 +192,22 @@ def explanation_subgraph(transactions: DataFrame, seeds: DataFrame, hops: int, d
     return out.groupBy("tx_id").agg(F.min("hop").alias("hop"))
 
 
-def beneficial_owners(stakes: DataFrame, threshold: float = 0.25, depth: int = 16) -> DataFrame:
+def beneficial_owners(stakes: DataFrame, threshold: float = 0.25, depth: int | None = None) -> DataFrame:
     """(company, owner, share): ultimate owners (owned by nobody) whose shares multiplied along simple paths sum to the
-    threshold at least. stakes: (owner, owned, pct). A path that returns to itself ends."""
+    threshold at least. stakes: (owner, owned, pct). A path that returns to itself ends; with depth, paths that go on
+    after so many further steps are an error."""
     direct = written(stakes.select("owner", "owned", "pct"), "stakes")
     front = direct.select(F.col("owned").alias("company"), "owner", F.col("pct").alias("share"), F.array("owned", "owner").alias("path")).where("owner <> owned")
     out = front.select("company", "owner", "share")
-    for _ in range(depth):
+    steps = 0
+    while True:
         up = front.join(direct.select(F.col("owned").alias("owner"), F.col("owner").alias("__up"), "pct"), "owner")
         front = written(up.where(~F.array_contains("path", F.col("__up"))).select("company", F.col("__up").alias("owner"), (F.col("share") * F.col("pct")).alias("share"), F.array_append("path", F.col("__up")).alias("path")), "paths")
         if front.isEmpty():
             break
+        if steps == depth:
+            raise ValueError(f"ownership paths go on after {depth} further steps")
+        steps += 1
         out = out.unionByName(front.select("company", "owner", "share"))
     top = out.join(direct.select(F.col("owned").alias("owner")).distinct(), "owner", "left_anti")
     return top.groupBy("company", "owner").agg(F.sum("share").alias("share")).where(F.col("share") >= threshold)
