@@ -45,3 +45,24 @@ def test_beneficial_owners_at_the_end_of_a_long_chain(spark):
     assert got[0].share == pytest.approx(0.99**20)
     with pytest.raises(ValueError):
         E.beneficial_owners(stakes, 0.5, depth=3)
+
+
+def test_transactions_of_all_amounts(spark, monkeypatch):
+    events = spark.read.parquet(f"{SF}/events.parquet").toPandas()
+    dst = (events["event_id"] * 7919 + events["user_id"] * 31) % 150
+    totals = QUERIES["LE16_transaction_totals_whole"](spark, SF).toPandas()
+    assert totals.groupby("dim")["n"].sum().to_dict() == {"channel": len(events), "jurisdiction": len(events)}
+    assert totals[totals["dim"] == "channel"].set_index("key")["total"].to_dict() == pytest.approx(events.groupby("event_type")["value"].sum().to_dict(), abs=0.02)
+
+    hops, near, frontier = {}, {5}, {5}
+    for hop in (1, 2, 3):
+        taken = [i for i in range(len(events)) if events["user_id"][i] in frontier]
+        hops |= {int(events["event_id"][i]): hop for i in taken}
+        frontier = {int(dst[i]) for i in taken} - near
+        near |= frontier
+    assert {r.tx_id: r.hop for r in QUERIES["LE17_explanation_subgraph_whole"](spark, SF).collect()} == hops
+
+    seen, snapshot = [], E.case_snapshot
+    monkeypatch.setattr(E, "case_snapshot", lambda df, *more: seen.append(df.count()) or snapshot(df, *more))
+    assert QUERIES["LE20_case_snapshot"](spark, SF).count() == (events["user_id"] % 7).nunique()
+    assert seen == [len(events)]
