@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from veldspar import catalogue
 from veldspar.operators import exposure as E
+from veldspar.operators import vector as V
+from veldspar.plans import relations as R
 
 SF = "/root/testdata/sf0.001"
 QUERIES = catalogue.queries()
@@ -66,3 +68,16 @@ def test_transactions_of_all_amounts(spark, monkeypatch):
     monkeypatch.setattr(E, "case_snapshot", lambda df, *more: seen.append(df.count()) or snapshot(df, *more))
     assert QUERIES["LE20_case_snapshot"](spark, SF).count() == (events["user_id"] % 7).nunique()
     assert seen == [len(events)]
+
+
+def test_recall_of_probed_cells(spark):
+    vectors = R._vectors(spark, SF).cache()
+    asked, index = R._asked(spark, SF), V.build_ivf(vectors, 8)
+    found = V.recalls(index, asked, 10)
+    nprobe = V.enough_probes(index, asked, 10, 0.9, 3)
+    one_by_one = [V.recall(V.knn(vectors, r.embedding, 10), index.search(r.embedding, 10, nprobe)) for r in asked.collect()]
+    assert sum(one_by_one) / len(one_by_one) == pytest.approx(found[nprobe - 1])
+    assert found[nprobe - 1] >= 0.9 and found[-1] == 1.0
+    assert {r.id for r in QUERIES["VEC06_ivf_probe"](spark, SF).collect()} == {r.id for r in index.search(R.QUERY, 10, nprobe).collect()}
+    assert [(r.nlist, r.nprobe, r.recall) for r in QUERIES["VEC08_ivf_tuning"](spark, SF).collect()] == [(8, n, x) for n, x in enumerate(found, 1)]
+    vectors.unpersist()

@@ -97,23 +97,36 @@ class Ivf:
         self.cells.write.partitionBy("cell").parquet(path)
 
 
-def build_ivf(vectors: DataFrame, nlist: int, metric: str = "l2", seed: int = 1, sample: int = 20_000, rounds: int = 15) -> Ivf:
-    """k-means in numpy over a sample of at most about `sample` vectors (a parameter); every vector gets a cell."""
+def build_ivf(vectors: DataFrame, nlist: int, metric: str = "l2", seed: int = 1, sample: int = 20_000, rounds: int = 25, restarts: int = 3) -> Ivf:
+    """k-means in numpy over a sample of at most about `sample` vectors (a parameter), the best of `restarts` starts by
+    the sum of squares; every vector gets a cell."""
     total = vectors.count()
     share = min(1.0, sample / max(1, total))
     picked = vectors if share == 1 else vectors.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) < share * (1 << 30))
     x = np.array([r[0] for r in picked.select("embedding").orderBy("id").collect()], float)
     rng = np.random.default_rng(seed)
+    tries = [_kmeans(x, min(nlist, len(x)), rng, rounds) for _ in range(restarts)]
+    c = min(tries, key=lambda found: found[1])[0]
+    return Ivf(c, vectors.withColumn("cell", F.array_min(_by_cell("embedding", c))["cell"]), metric)
+
+
+def _kmeans(x: np.ndarray, nlist: int, rng: np.random.Generator, rounds: int) -> tuple[np.ndarray, float]:
+    """Centroids from one k-means++ start, and their sum of squares."""
     centers, d = [x[rng.integers(len(x))]], np.full(len(x), np.inf)
-    for _ in range(1, min(nlist, len(x))):
+    for _ in range(1, nlist):
         d = np.minimum(d, ((x - centers[-1]) ** 2).sum(1))
         centers.append(x[rng.choice(len(x), p=d / d.sum())] if d.sum() > 0 else x[rng.integers(len(x))])
     c = np.array(centers)
+    squares = lambda c: (x**2).sum(1)[:, None] - 2 * x @ c.T + (c**2).sum(1)
     for _ in range(rounds):
-        own = ((x**2).sum(1)[:, None] - 2 * x @ c.T + (c**2).sum(1)).argmin(1)
+        own = squares(c).argmin(1)
         c = np.array([x[own == j].mean(0) if (own == j).any() else c[j] for j in range(len(c))])
-    options = F.array(*(F.struct(distance(F.col("embedding"), _literal(v)).alias("d"), F.lit(j).alias("cell")) for j, v in enumerate(c)))
-    return Ivf(c, vectors.withColumn("cell", F.array_min(options)["cell"]), metric)
+    return c, float(squares(c).min(1).sum())
+
+
+def _by_cell(embedding: str, centroids: np.ndarray) -> Column:
+    """An array with (d, cell) of each centroid."""
+    return F.array(*(F.struct(distance(F.col(embedding), _literal(v)).alias("d"), F.lit(j).alias("cell")) for j, v in enumerate(centroids)))
 
 
 def recall(exact: DataFrame, found: DataFrame) -> float:
@@ -122,16 +135,32 @@ def recall(exact: DataFrame, found: DataFrame) -> float:
     return len(want & {r[0] for r in found.select("id").collect()}) / max(1, len(want))
 
 
-def tune_ivf(vectors: DataFrame, queries: Sequence[Sequence[float]], k: int, nlists: Sequence[int], nprobes: Sequence[int], target: float) -> tuple[list[tuple], tuple]:
-    """The curve (nlist, nprobe, recall, share of cells read), and the cheapest setting that reaches target, else the best."""
-    exact = [knn(vectors, q, k) for q in queries]
+def recalls(index: Ivf, queries: DataFrame, k: int) -> list[float]:
+    """Mean recall at k of search() for nprobe 1, 2, ... over queries(id, embedding), against the exact neighbours. An
+    exact neighbour is found just when its cell is probed, so one exact pass gives all of them."""
+    from pyspark.sql import Window
+
+    asked = queries.select(F.col("id").alias("__q"), F.col("embedding").alias("__e"), F.transform(F.array_sort(_by_cell("embedding", index.centroids)), lambda x: x["cell"]).alias("__order"))
+    pairs = index.cells.select("id", "embedding", "cell").crossJoin(asked).select("__q", "id", F.array_position("__order", F.col("cell")).alias("probe"), distance("embedding", "__e", index.metric).alias("__d"))
+    place = F.row_number().over(Window.partitionBy("__q").orderBy("__d", "id"))
+    near = pairs.withColumn("__place", place).where(F.col("__place") <= k)
+    counts = {r["probe"]: r["count"] for r in near.groupBy("probe").count().collect()}
+    total = max(1, sum(counts.values()))
+    return [sum(n for p, n in counts.items() if p <= nprobe) / total for nprobe in range(1, len(index.centroids) + 1)]
+
+
+def enough_probes(index: Ivf, queries: DataFrame, k: int, target: float, least: int = 1) -> int:
+    """The smallest nprobe, not under least, whose measured recall reaches target."""
+    return next((n for n, x in enumerate(recalls(index, queries, k), 1) if n >= least and x >= target), len(index.centroids))
+
+
+def tune_ivf(vectors: DataFrame, queries: DataFrame, k: int, nlists: Sequence[int], nprobes: Sequence[int], target: float) -> tuple[list[tuple], tuple]:
+    """The curve (nlist, nprobe, recall, share of cells read) over queries(id, embedding), and the cheapest setting that
+    reaches target, else the best."""
     curve = []
     for nlist in nlists:
-        index = build_ivf(vectors, nlist)
-        for nprobe in nprobes:
-            if nprobe <= nlist:
-                got = sum(recall(e, index.search(q, k, nprobe)) for e, q in zip(exact, queries, strict=True)) / len(queries)
-                curve.append((nlist, nprobe, got, nprobe / nlist))
+        found = recalls(build_ivf(vectors, nlist), queries, k)
+        curve += [(nlist, nprobe, found[nprobe - 1], nprobe / nlist) for nprobe in nprobes if nprobe <= len(found)]
     good = [x for x in curve if x[2] >= target]
     return curve, min(good, key=lambda x: (x[3], x[1])) if good else max(curve, key=lambda x: x[2])
 
