@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from veldspar import catalogue
 from veldspar.operators import exposure as E
+from veldspar.operators import graph as G
 from veldspar.operators import vector as V
 from veldspar.plans import relations as R
 
@@ -81,3 +82,12 @@ def test_recall_of_probed_cells(spark):
     assert {r.id for r in QUERIES["VEC06_ivf_probe"](spark, SF).collect()} == {r.id for r in index.search(R.QUERY, 10, nprobe).collect()}
     assert [(r.nlist, r.nprobe, r.recall) for r in QUERIES["VEC08_ivf_tuning"](spark, SF).collect()] == [(8, n, x) for n, x in enumerate(found, 1)]
     vectors.unpersist()
+
+
+def test_match_budgets(spark):
+    edges = spark.createDataFrame([(i, i + 1, 0, i, 100) for i in range(5)], "src long, dst long, edge_type int, valid_from long, valid_to long")
+    got = G.match(edges, [(0, 1), (1, 2)], 50, max_rows=5)
+    assert sorted(map(tuple, got.select("v0", "v1", "v2").collect())) == [(i, i + 1, i + 2) for i in range(4)]
+    for limit in ({"max_rows": 4}, {"cancelled": lambda: True}):
+        with pytest.raises(G.BudgetExceeded):
+            G.match(edges, [(0, 1), (1, 2)], 50, **limit)

@@ -86,17 +86,21 @@ def degree_histogram(edges: DataFrame) -> DataFrame:
 def match(
     edges: DataFrame, pattern: Sequence[tuple[int, int]], t: int, types: Sequence[int | None] | None = None, before: Sequence[tuple[int, int]] | None = None,
     start: int | None = None, span: int | None = None, event_types: Sequence[int] | None = None, distinct: bool = True,
+    max_rows: int | None = None, cancelled: Callable[[], bool] = lambda: False,
 ) -> DataFrame:
     """Rows v0, v1, ... of all ways to lay the pattern's edges (pairs of variables) on edges in force at t.
 
     before: pairs of pattern edges of which the first must begin earlier (default: each earlier than the next). types
     fixes edge types; start fixes v0; span limits latest less earliest valid_from; event_types is the sequence of types
     in order of time; distinct: no two variables are one node. Edges join one by one on the variables known by then,
-    with the time order and distinctness as conditions of each join."""
+    with the time order and distinctness as conditions of each join. With max_rows each step is written, and one of more
+    rows raises BudgetExceeded, as does cancelled() before a step."""
     live = active_at(edges, t).select("src", "dst", "edge_type", "valid_from")
     before = [(i, i + 1) for i in range(len(pattern) - 1)] if before is None else before
     out, known = None, []
     for i, (a, b) in enumerate(pattern):
+        if cancelled():
+            raise BudgetExceeded("cancelled")
         e = live if not types or types[i] is None else live.where(F.col("edge_type") == types[i])
         if start is not None:
             e = e.where(F.col("src") == start) if a == 0 else e
@@ -123,6 +127,10 @@ def match(
             out = out.withColumn(f"v{v}", F.col(c))
             known.append(v)
         out = out.drop(f"__s{i}", f"__d{i}")
+        if max_rows is not None:
+            out = written(out, "match")
+            if (n := out.count()) > max_rows:
+                raise BudgetExceeded(f"{n} rows after edge {i}")
     times = [F.col(f"__t{i}") for i in range(len(pattern))]
     if span is not None and len(times) > 1:
         out = out.where(F.greatest(*times) - F.least(*times) <= span)

@@ -204,6 +204,10 @@ QUERIES: dict[str, Query] = {
         lambda spark, d: G.path(_edges(spark, d), 2, NOW, span=DAY // 8, event_types=[1, 2]),
         f"WITH {LIVE} SELECT a.src AS v0, a.dst AS v1, b.dst AS v2 FROM live a JOIN live b ON b.src = a.dst AND a.valid_from < b.valid_from WHERE a.edge_type = 1 AND b.edge_type = 2 AND b.valid_from - a.valid_from <= {DAY // 8} AND a.src <> a.dst AND b.dst NOT IN (a.src, a.dst)",
     ),
+    "GR18_bounded_match": (
+        lambda spark, d: G.match(_edges(spark, d), [(0, 1), (1, 2)], NOW, [1, None], max_rows=10**6),
+        f"WITH {LIVE} SELECT a.src AS v0, a.dst AS v1, b.dst AS v2 FROM live a JOIN live b ON b.src = a.dst AND a.valid_from < b.valid_from WHERE a.edge_type = 1 AND a.src <> a.dst AND b.dst NOT IN (a.src, a.dst)",
+    ),
     "GR19_delta": (
         lambda spark, d: G.apply_delta(_edges(spark, d), G.transpose(_edges(spark, d)).where("src < 5"), _edges(spark, d).where("edge_type = 2")),
         f"WITH {EDGES} SELECT * FROM edges WHERE edge_type <> 2 UNION SELECT dst, src, edge_type, valid_from, valid_to FROM edges WHERE dst < 5",
