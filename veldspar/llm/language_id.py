@@ -27,8 +27,9 @@ from ._labels import TRAIN_BYTES, remainder
 from ._spark import tune
 
 ORDER = 3
-#: About how many texts of each language the statistics come from, and how many languages at most are learned.
-TEXTS, LANGUAGES = 400, 200
+#: About how many texts of each language the statistics come from, fewer (LEAST or more) where there are over LANGUAGES
+#: languages, and how many of the shortest texts where a language has none of up to TRAIN_BYTES.
+TEXTS, LANGUAGES, LEAST, SHORTEST = 400, 200, 20, 4
 SCORE_BYTES = 20
 
 
@@ -129,15 +130,28 @@ def predict(model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray]:
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", per_language: int = TEXTS) -> Model:
-    """About per_language texts of each language, picked by a hash of doc_id; languages beyond LANGUAGES, the rarest, are left out."""
-    usable = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (remainder("doc_id", 4) != 2) & (F.octet_length(text) <= TRAIN_BYTES))
-    counts = usable.groupBy(F.col(lang).alias("__lang")).count().orderBy(F.desc("count"), "__lang").limit(LANGUAGES)
+    """About per_language texts of each language, picked by a hash of doc_id; every language with a text is learned, one
+    without a text of up to TRAIN_BYTES from its SHORTEST ones, whole."""
+    every = docs.where(F.col(lang).isNotNull() & (F.octet_length(text) > 0) & (remainder("doc_id", 4) != 2)).select("doc_id", F.col(lang).alias("__lang"), F.col(text).alias("__text"), F.octet_length(text).alias("__size"))
+    usable = every.where(F.col("__size") <= TRAIN_BYTES)
+    found = [tuple(r) for r in every.groupBy("__lang").agg(F.count(F.when(F.col("__size") <= TRAIN_BYTES, 1)).alias("count")).collect()]
+    if not found:
+        return fit({})
+    wanted = per_language if len(found) <= LANGUAGES else max(LEAST, per_language * LANGUAGES // len(found))
+    counts = docs.sparkSession.createDataFrame(found, "__lang string, count long")
     place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(5)), F.lit(1 << 40)) / float(1 << 40)
-    got = usable.select(F.col(lang).alias("__lang"), F.col(text).alias("__text"), place.alias("__place")).join(F.broadcast(counts), "__lang").where(F.col("__place") * F.col("count") < per_language).select("__lang", "__text").collect()
+    got = usable.withColumn("__place", place).join(F.broadcast(counts), "__lang").where(F.col("__place") * F.col("count") < wanted).select("__lang", "__text").collect()
+    missing = {k for k, _ in found} - {r[0] for r in got}
+    if missing:
+        from pyspark.sql import Window
+
+        nth = F.row_number().over(Window.partitionBy("__lang").orderBy("__size", F.xxhash64("__text")))
+        few = every.join(F.broadcast(docs.sparkSession.createDataFrame([(k,) for k in sorted(missing)], "__lang string")), "__lang")
+        got += few.withColumn("__nth", nth).where(F.col("__nth") <= SHORTEST).select("__lang", "__text").collect()
     texts: dict[str, list[str]] = {}
     for r in sorted(got, key=lambda r: (r[0], r[1])):
         texts.setdefault(r[0], []).append(r[1])
-    return fit({k: v for k, v in texts.items() if any(v)})
+    return fit(texts)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
