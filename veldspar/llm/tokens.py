@@ -1,10 +1,10 @@
 """Token-ID output: documents as token ids in Parquet list columns, written in doc_id order and read back selectively.
 
-Layout of a token table: rows (doc_id, first, n_tokens, tokens) in ascending doc_id over files and within them;
-`first` counts the ids of the file's earlier rows. Ids are dictionary-encoded (a page holds about two bytes an id
+Layout of a token table: rows (doc_id, part, first, n_tokens, tokens) in ascending doc_id over parts and within them;
+`part` numbers the ranges of doc_id, of one or more files each, and `first` counts the ids of the part's earlier rows. Ids are dictionary-encoded (a page holds about two bytes an id
 before compression), row groups and pages are kept small, and Parquet's page indexes allow a reader to fetch the
-pages of a doc_id range only; metadata reads leave the token pages alone. A manifest beside it has, for each file,
-the number of ids in all files before it, so that `start` is known without touching a token.
+pages of a doc_id range only; metadata reads leave the token pages alone. A manifest beside it has, for each part,
+the number of ids in all parts before it, so that `start` is known without touching a token.
 
 Texts are cut at blanks, tabs and line ends, each of which the tokenizer drops, and between an ASCII letter and one
 of .,;:!? on either side, where the tokenizer cuts as well; A-Z are lowered first, as the tokenizer does (not in a
@@ -29,13 +29,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import _text as X
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from ._spark import new_path, tune
 
 END_ID = 1
 #: Distinct pieces that a worker remembers before it starts anew.
 MEMORY = 1 << 19
 LAYOUT = {"compression": "zstd", "parquet.block.size": str(32 << 20), "parquet.page.size": str(256 << 10), "parquet.page.row.count.limit": "512", "parquet.enable.dictionary": "true"}
-SCHEMA = "doc_id long, first long, n_tokens long, tokens array<int>"
+SCHEMA = "doc_id long, part int, first long, n_tokens long, tokens array<int>"
 
 
 def tokenizer_path() -> str:
@@ -147,26 +149,24 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None) -> st
     tokenizer = tokenizer or tokenizer_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, done = encoder_of(tokenizer), 0
+        encoder, done, part = encoder_of(tokenizer), 0, TaskContext.get().partitionId()
         for block in X.blocks(batches, 1, 4 << 20):
             ids = encoder.encode(block.column(1))
             ends = ids.offsets.to_numpy().astype(np.int64)
-            yield pa.RecordBatch.from_arrays([block.column(0), pa.array(done + ends[:-1]), pa.array(np.diff(ends)), ids], names=["doc_id", "first", "n_tokens", "tokens"])
+            yield pa.RecordBatch.from_arrays([block.column(0), pa.array(np.full(len(ids), part, np.int32)), pa.array(done + ends[:-1]), pa.array(np.diff(ends)), ids], names=["doc_id", "part", "first", "n_tokens", "tokens"])
             done += int(ends[-1])
 
     ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(run, SCHEMA).write.options(**LAYOUT).parquet(f"{path}/tokens")
-    files = spark.read.schema(SCHEMA).parquet(f"{path}/tokens").groupBy(F.col("_metadata.file_name").alias("file")).agg(F.min("doc_id").alias("min_doc_id"), F.max("doc_id").alias("max_doc_id"), F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file; the names of parts sort as their ranges
-    files.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))).write.parquet(f"{path}/manifest")
+    manifest(spark.read.schema(SCHEMA).parquet(f"{path}/tokens")).write.parquet(f"{path}/manifest")
     return path
 
 
 def read_tokens(spark: SparkSession, path: str, tokens: bool = True) -> DataFrame:
     """doc_id, start, n_tokens and, if wanted, tokens. Filters on doc_id reach the page indexes."""
-    manifest = spark.read.parquet(f"{path}/manifest").select("file", "base")
-    rows = spark.read.schema(SCHEMA).parquet(f"{path}/tokens").withColumn("file", F.col("_metadata.file_name"))
-    return rows.join(manifest, "file").select("doc_id", (F.col("base") + F.col("first")).alias("start"), "n_tokens", *(["tokens"] if tokens else []))
+    bases = spark.read.parquet(f"{path}/manifest").select("part", "base")
+    rows = spark.read.schema(SCHEMA).parquet(f"{path}/tokens")
+    return rows.join(bases, "part").select("doc_id", (F.col("base") + F.col("first")).alias("start"), "n_tokens", *(["tokens"] if tokens else []))
 
 
 def checksums(rows: DataFrame) -> DataFrame:
@@ -181,6 +181,13 @@ def checksums(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(ends).astype(np.int64)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return rows.select("doc_id", "start", "n_tokens", "tokens").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+def manifest(rows: DataFrame) -> DataFrame:
+    """One row for each part: its ids and documents, and the number of ids in the parts before it (base)."""
+    parts = rows.groupBy("part").agg(F.min("doc_id").alias("min_doc_id"), F.max("doc_id").alias("max_doc_id"), F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each part
+    return parts.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
+
+
 
 
 def op4(docs: DataFrame) -> DataFrame:
