@@ -9,8 +9,9 @@ the number of ids in all parts before it, so that `start` is known without touch
 Texts are cut at blanks, tabs and line ends, each of which the tokenizer drops, and between an ASCII letter and one
 of .,;:!? on either side, where the tokenizer cuts as well; A-Z are lowered first, as the tokenizer does (not in a
 block that holds a combining mark or a special token's beginning, where that could differ). Every distinct piece is
-encoded once by the tokenizers library; the ids of a text are those of its pieces, one after another. (The
-tokenizer's normaliser and its split never look over such a cut, so this is exact; the tests compare with whole
+encoded once by the tokenizers library: pieces of printable ASCII and plain letters by its model alone, after the
+tokenizer's own cuts, all others by the whole tokenizer. The ids of a text are those of its pieces, one after another.
+(The tokenizer's normaliser and its split never look over such a cut, so this is exact; the tests compare with whole
 texts.) A worker keeps its pieces from task to task.
 
 Defined cases: a null or empty text has the end id only; null doc_ids come first; rows with a repeated doc_id are
@@ -20,17 +21,20 @@ ordered by text; other columns are left out; an empty table gives an empty resul
 from __future__ import annotations
 
 import os
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import _text as X
-import pyarrow.compute as pc
-from pyspark import TaskContext
 from ._spark import new_path, tune
 
 END_ID = 1
@@ -54,9 +58,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.ending = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ending[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
+        self.model = self.tokenizer.model
         self.forget()
 
     def forget(self) -> None:
@@ -69,38 +71,45 @@ class Encoder:
         if self.size + len(distinct) > MEMORY:
             self.forget()
         new = [x for x in distinct if x not in self.known]
-        if new:
-            texts = [x.decode() for x in new]
-            letters = [x.isalpha() for x in texts]
-            for plain in (True, False):
-                some = [i for i, x in enumerate(letters) if x is plain]
-                for at in range(0, len(some), 4096):
-                    part = some[at : at + 4096]
-                    ids, lengths = self._encoded([texts[i] for i in part], plain)
-                    self._keep([new[i] for i in part], ids, lengths)
-        return np.fromiter((self.known[x] for x in distinct), np.int64, len(distinct))
-
-    def _encoded(self, texts: list[str], letters: bool) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, and how many belong to each text. Words of letters go as one text: each is one word to the
-        tokenizer too, and ends with its only id that has the end-of-word mark. (If the marks are more than the
-        words, some word wasn't one; then all are encoded apart.)"""
-        if letters:
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(texts)], add_special_tokens=False)[0].ids, np.int32)
-            ends = np.flatnonzero(self.ending[ids])
-            if len(ends) == len(texts):
-                return ids, np.diff(ends, prepend=-1)
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, got), np.int64, len(got))
-        return np.fromiter((i for x in got for i in x), np.int32, int(lengths.sum())), lengths
-
-    def _keep(self, pieces: list[bytes], ids: np.ndarray, lengths: np.ndarray) -> None:
+        for at in range(0, len(new), 4096):
+            self._keep(new[at : at + 4096], [self._simple(x.decode()) for x in new[at : at + 4096]])
+        return np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
+
+    def _simple(self, piece: str) -> list[int] | None:
+        """The ids of a piece of printable ASCII and plain letters: cut as the tokenizer cuts it, its parts go to the
+        tokenizer's own model. None for all else, which the whole tokenizer has to see."""
+        if not piece.isascii() and not (_KNOWN(piece) and unicodedata.is_normalized("NFC", piece)):
+            return None
+        piece = piece.lower()
+        if piece.isalpha():
+            return self._word(piece)
+        if "<|" in piece or not piece.isprintable():
+            return None
+        out: list[int] = []
+        for part in _PARTS(piece):
+            if not part.isascii() and not part.isalpha():
+                return None
+            out += self._word(part)
+        return out
+
+    def _word(self, part: str) -> list[int]:
+        if not part.isascii():
+            part = part.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        return [x.id for x in self.model.tokenize(part)]
+
+    def _keep(self, pieces: list[bytes], ids: list[list[int] | None]) -> None:
+        other = [i for i, own in enumerate(ids) if own is None]
+        if other:
+            for i, e in zip(other, self.tokenizer.encode_batch_fast([pieces[i].decode() for i in other], add_special_tokens=False), strict=True):
+                ids[i] = e.ids
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         while self.size + len(pieces) + 1 > len(self.ends):
             self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-        begin = self.ends[self.size]
+        begin, many = self.ends[self.size], int(lengths.sum())
         self.ends[self.size + 1 : self.size + 1 + len(pieces)] = begin + np.cumsum(lengths)
-        while begin + len(ids) > len(self.values):
+        while begin + many > len(self.values):
             self.values = np.concatenate([self.values, np.zeros_like(self.values)])
-        self.values[begin : begin + len(ids)] = ids
+        self.values[begin : begin + many] = np.fromiter(chain.from_iterable(ids), np.int32, many)
         self.known.update(zip(pieces, range(self.size, self.size + len(pieces)), strict=True))
         self.size += len(pieces)
 
@@ -115,7 +124,9 @@ class Encoder:
         at = np.concatenate([[0], np.cumsum(ends - starts)])
         words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(raw[inside])])
         coded = words.dictionary_encode()
-        numbers = self.pieces(coded.dictionary.to_pylist())
+        distinct = coded.dictionary.cast(pa.binary())
+        joined = pc.binary_join(pa.ListArray.from_arrays([0, len(distinct)], distinct), b" ")[0].as_py()  # no piece holds a blank
+        numbers = self.pieces(joined.split(b" ") if len(distinct) else [])
         piece = numbers[coded.indices.to_numpy(zero_copy_only=False)] if len(starts) else np.zeros(0, np.int64)
         piece = np.insert(piece, first[1:], 0)
         begin, lengths = self.ends[piece].astype(np.int32), (self.ends[piece + 1] - self.ends[piece]).astype(np.int32)
@@ -133,6 +144,14 @@ _KIND[[ord(c) for c in ".,;:!?"]] = 2
 #: First bytes of U+0300 to U+036F.
 _MARK = np.isin(np.arange(256), [0xCC, 0xCD])
 
+#: How the tokenizer cuts lower-case ASCII and plain letters. Plain letters are those up to Cyrillic without the two
+#: whose lower case isn't one letter wherever they stand.
+_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00c0-\u052f]+|[0-9]|[^\\sa-z0-9\u00c0-\u052f]+").findall
+_KNOWN = re.compile("(?:(?![\u0130\u03a3])[!-~\u00c0-\u052f])+").fullmatch
+#: The letters that stand for bytes in the model's vocabulary: printable Latin-1 for itself, the rest from U+0100 on.
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_LETTERS = {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in set(_PLAIN))}
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -162,6 +181,13 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None) -> st
     return path
 
 
+def manifest(rows: DataFrame) -> DataFrame:
+    """One row for each part: its ids and documents, and the number of ids in the parts before it (base)."""
+    parts = rows.groupBy("part").agg(F.min("doc_id").alias("min_doc_id"), F.max("doc_id").alias("max_doc_id"), F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each part
+    return parts.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
+
+
 def read_tokens(spark: SparkSession, path: str, tokens: bool = True) -> DataFrame:
     """doc_id, start, n_tokens and, if wanted, tokens. Filters on doc_id reach the page indexes."""
     bases = spark.read.parquet(f"{path}/manifest").select("part", "base")
@@ -181,13 +207,6 @@ def checksums(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(ends).astype(np.int64)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return rows.select("doc_id", "start", "n_tokens", "tokens").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
-def manifest(rows: DataFrame) -> DataFrame:
-    """One row for each part: its ids and documents, and the number of ids in the parts before it (base)."""
-    parts = rows.groupBy("part").agg(F.min("doc_id").alias("min_doc_id"), F.max("doc_id").alias("max_doc_id"), F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each part
-    return parts.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
-
-
 
 
 def op4(docs: DataFrame) -> DataFrame:
