@@ -1,6 +1,9 @@
 import hashlib
 import math
+import random
 import re
+import string
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -59,5 +62,43 @@ def test_window_entropy_matches_brute_force(spark):
     assert all(abs(r.h - best(r.w)) < 1e-9 for r in rows)
 
 
+ALLOWED = ("[0-9]+", "[A-Za-z_=+/-]+", "[0-9_=+/-]+", "[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", "/?([a-z]+[0-9]*[/_=-])+[a-z]*[0-9]*")
+
+
+def brute_entropy(text, n=20):
+    """Entropy spans by counting each window anew."""
+    base, out = brute(text), []
+    for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", text or ""):
+        w = m[0]
+        if any(s < m.end() and m.start() < e for s, _, e in base) or any(re.fullmatch(p, w) for p in ALLOWED):
+            continue
+        least = 3.0 if re.fullmatch("[0-9a-fA-F]+", w) else 3.8
+        if any(-sum(c / n * math.log2(c / n) for c in Counter(w[i : i + n]).values()) >= least - 1e-9 for i in range(len(w) - n + 1)):
+            out.append((m.start(), m.end()))
+    return out
+
+
+def test_entropy_spans_match_brute_force_on_long_and_hostile_texts(spark):
+    rng = random.Random(2)
+    wide, low = string.ascii_letters + string.digits + "+/", "0123456789abcdef"
+    pick = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    texts = [
+        "a1/" * 333_333 + "b",
+        pick(wide, 1_000_000),
+        " ".join(pick(wide[: rng.randint(8, 64)], rng.randint(18, 28)) for _ in range(10_000)),
+        " ".join(rng.choice(["token=", "AKIA", "x.", '"'] + [""] * 6) + pick(rng.choice([wide, low]), rng.randint(10, 45)) for _ in range(4000)),
+        "a" * 300_000 + "1",
+        "token" + " " * 300_000 + "token =" * 20_000,
+        pick(low + "_-", 5000),
+        None,
+    ]
+    rows = [(k % 5 if k < 7 else None, t, "clash", k) for k, t in enumerate(texts)]  # ids repeat, one is null
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans string, base int")
+    got = S.op5(docs).collect()
+    found = sorted((r.doc_id is not None, r.doc_id or 0, [tuple(map(int, x.split(":")[1:])) for x in r.spans.split(",") if x.startswith("entropy")]) for r in got)
+    assert found == sorted((i is not None, i or 0, brute_entropy(t)) for i, t, _, _ in rows)
+    assert sorted(r.n_assign + r.n_access + r.n_hex for r in got) == sorted(len(brute(t)) for t in texts)
+
+
 def test_empty(docs):
     assert S.op5(docs.limit(0)).collect() == []
