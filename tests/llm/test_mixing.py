@@ -1,4 +1,6 @@
+import hashlib
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -62,6 +64,25 @@ def test_mix_emits_copies_in_the_same_columns(docs):
     assert counts == {k: v for k, v in plan.items() if v}
 
 
+def test_draws_match_brute_force(docs):
+    for r in mixing.mix_plan(docs).collect():
+        text = next(x.text for x in docs.collect() if x.doc_id == r.doc_id) or ""
+        u = int(hashlib.md5(f"{mixing.SEED}:{r.doc_id}:{hashlib.md5(text.encode()).hexdigest()}".encode()).hexdigest()[:12], 16) / 2**48
+        assert r.copies == int(r.rate) + (u < r.rate - int(r.rate))
+
+
+def test_repeated_and_null_ids_and_clashing_columns(spark):
+    rows = [(k % 40 if k % 3 else None, f"w {k} " * (k % 9), "ab"[k % 2] if k % 5 else None, k, "row", 1.5, 3, "z") for k in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size long, row string, u double, copies int, aim string")
+    plan, out = mixing.mix_plan(docs).collect(), mixing.mix(docs)
+    assert out.columns == docs.columns and len(plan) == 4000
+    got = out.collect()
+    words = lambda t: len((t or "").split())
+    assert len(got) == sum(r.copies for r in plan) and sum(words(r.text) for r in got) == sum(r.size * r.copies for r in plan)
+    times = Counter(r.size for r in got)  # that column tells the rows apart
+    assert Counter((docs_row[0], words(docs_row[1]), times[docs_row[3]]) for docs_row in rows) == Counter((r.doc_id, r.size, r.copies) for r in plan)
+
+
 def test_empty(docs):
     assert mixing.op10(docs.limit(0)).collect() == []
     assert mixing.mix(docs.limit(0)).collect() == []

@@ -2,14 +2,13 @@
 
 Tokens are summed by source, the budget is shared by weight under a cap for each source, and the repetition
 rate of a source is its target over its size. Each document is emitted floor(rate) times, plus one copy by a
-Bernoulli draw whose probability is the rate's fraction. The draw is seeded by a hash of the document's id:
-documents of a source and size class are put in the order of their hashes, and the k-th of n draws
-u = (k - 1 + jitter) / n, jitter being a hash too. Each u is uniform over the hashes, so each copy keeps its
-probability, while the words that a source takes stray less from its target than under independent draws.
+Bernoulli draw whose probability is the rate's fraction. The draw is a hash of the document's id and text, so it needs
+no shuffle, doesn't depend on other documents, and is the same in each run. The words that a source takes stray from
+its target as independent draws do: by sqrt(f * (1 - f) * sum of size^2) with f the fraction.
 
 Defined cases: a null text has size 0; a null source is a source of its own, ordered last; a source of size 0
-has target 0; rows that repeat a doc_id are documents of their own; an empty table gives an empty result.
-A hot source is summed before the shuffle, and its classes are cut into parts of about PART documents.
+has target 0; rows that repeat a doc_id are documents of their own, and only those with the same text too draw alike;
+extra columns may have any name; an empty table gives an empty result. A hot source is summed before the shuffle.
 """
 
 from __future__ import annotations
@@ -20,7 +19,7 @@ from pyspark.sql import functions as F
 from ._spark import written
 
 WEIGHTS = (3.0, 1.0, 2.0)
-BUDGET, CAP, SEED, PART = 1.5, 2.0, "mix-1", 2000
+BUDGET, CAP, SEED = 1.5, 2.0, "mix-1"
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
@@ -28,9 +27,10 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def _unit(key: Column, salt: str) -> Column:
-    """A uniform number in [0, 1) from the first 48 bits of an MD5."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit(salt), key)), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
+def draw(doc_id: Column, text: Column, seed: str = SEED) -> Column:
+    """A uniform number in [0, 1): the first 48 bits of an MD5 of the seed, the id and the text's MD5."""
+    key = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text, F.lit(""))))
+    return F.conv(F.substring(F.md5(key), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, cap: float = CAP) -> DataFrame:
@@ -59,40 +59,29 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: floa
     )
 
 
-def draws(sized: DataFrame, seed: str = SEED) -> DataFrame:
-    """Adds u, the hash-seeded uniform draw of each row, to rows with doc_id, source and size."""
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    classed = sized.withColumns({"__class": F.floor(2 * F.log2(F.col("size") + 1)).cast("int"), "__place": _unit(key, f"{seed}:place:"), "__jitter": _unit(key, f"{seed}:jitter:")})
-    parts = classed.groupBy("source", "__class").agg(F.ceil(F.count("*") / PART).alias("__parts")).withColumnsRenamed({"source": "__s", "__class": "__c"})
-    cut = classed.join(parts, F.col("source").eqNullSafe(F.col("__s")) & (F.col("__class") == F.col("__c"))).withColumn("__part", F.floor(F.col("__jitter") * F.col("__parts")))
-    stratum = Window.partitionBy("source", "__class", "__part")
-    rank = F.row_number().over(stratum.orderBy("__place", "__jitter", "doc_id", "size"))
-    spread = F.col("__jitter") * F.col("__parts") - F.col("__part")
-    return cut.withColumn("u", (rank - 1 + spread) / F.count("*").over(stratum)).drop("__class", "__place", "__jitter", "__parts", "__s", "__c", "__part")
+def _copied(sized: DataFrame, sizes: DataFrame, **shares) -> DataFrame:
+    """sized(source, size, u, ...) with source_size, target, rate and copies, by the targets of sizes(source, size).
+
+    The targets are a written table of one row for each source, so that Spark knows its size when it picks the join."""
+    aims = written(targets(sizes, **shares).withColumnRenamed("source", "aim"), "mix-targets")
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    whole = F.floor("rate")
+    return sized.join(aims, F.col("source").eqNullSafe(F.col("aim"))).withColumn("rate", rate).withColumn("copies", (whole + (F.col("u") < F.col("rate") - whole).cast("long")).cast("long")).drop("aim", "u")
 
 
 def mix_plan(docs: DataFrame, seed: str = SEED, **shares) -> DataFrame:
     """doc_id, source, size, source_size, target, rate, copies for each row of docs(doc_id, text, source)."""
-    sized = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
-    aims = targets(sized, **shares).withColumnRenamed("source", "__source")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    return (
-        draws(sized, seed)
-        .join(aims, F.col("source").eqNullSafe(F.col("__source")))
-        .withColumn("rate", rate)
-        .withColumn("copies", (F.floor("rate") + (F.col("u") < F.col("rate") - F.floor("rate")).cast("long")).cast("long"))
-        .drop("__source", "u")
-    )
+    sized = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), draw(F.col("doc_id"), F.col("text"), seed).alias("u")), "mix-sizes")
+    return _copied(sized, sized, **shares)
 
 
 def mix(docs: DataFrame, seed: str = SEED, **shares) -> DataFrame:
-    """docs with each row repeated as mix_plan() says, in the same columns. Rows with one doc_id take the most of their copies once each."""
-    plan = mix_plan(docs, seed, **shares)
-    columns = [docs[c] for c in docs.columns]
-    copies = plan.groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size")).agg(F.max("copies").alias("__copies"))
-    sized = docs.withColumn("__n", word_count(F.col("text")))
-    joined = sized.join(copies, sized["doc_id"].eqNullSafe(F.col("__id")) & sized["source"].eqNullSafe(F.col("__source")) & (sized["__n"] == F.col("__size")))
-    return joined.where("__copies > 0").withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__copies").cast("int")))).select(*columns)
+    """docs with each row repeated as mix_plan() says, in the same columns. Each row carries its own draw: texts aren't
+    shuffled unless the sources are too many to be broadcast."""
+    size = word_count(F.col("text")).alias("size")
+    rows = docs.select(F.struct("*").alias("row"), "source", size, draw(F.col("doc_id"), F.col("text"), seed).alias("u"))
+    plan = _copied(rows, docs.select("source", size), **shares).where("copies > 0")
+    return plan.select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 def op10(docs: DataFrame) -> DataFrame:
@@ -104,14 +93,8 @@ def op10(docs: DataFrame) -> DataFrame:
 OP10_SQL = f"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
-         coalesce(doc_id::VARCHAR, '') AS k FROM documents),
-h AS (SELECT *, floor(2 * log2(size + 1))::INT AS c,
-         ('0x' || substr(md5('{SEED}:place:' || k), 1, 12))::BIGINT / {float(1 << 48)!r} AS p,
-         ('0x' || substr(md5('{SEED}:jitter:' || k), 1, 12))::BIGINT / {float(1 << 48)!r} AS j FROM sized),
-n AS (SELECT *, ceil(count(*) OVER (PARTITION BY source, c) / {float(PART)}) AS parts FROM h),
-q AS (SELECT *, floor(j * parts) AS part FROM n),
-d AS (SELECT *, (row_number() OVER (PARTITION BY source, c, part ORDER BY p, j, doc_id, size) - 1 + (j * parts - part))
-         / count(*) OVER (PARTITION BY source, c, part) AS u FROM q),
+         ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 12))::BIGINT / {float(1 << 48)!r} AS u
+  FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 w AS (SELECT *, [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight FROM s),
 l AS (SELECT *, 2.0::DOUBLE * source_size AS most, 2.0::DOUBLE * source_size / weight AS level FROM w),
@@ -122,7 +105,7 @@ o AS (SELECT *, max(CASE WHEN level > water THEN water END) OVER () AS open FROM
 a AS (SELECT source, source_size, CASE WHEN level <= water THEN most ELSE weight * open END AS target FROM o),
 r AS (SELECT d.doc_id, d.size, a.source_size, a.target, d.u,
          CASE WHEN a.source_size > 0 THEN a.target / a.source_size ELSE 0 END AS rate
-      FROM d JOIN a ON d.source IS NOT DISTINCT FROM a.source),
+      FROM sized d JOIN a ON d.source IS NOT DISTINCT FROM a.source),
 z AS (SELECT *, (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END)::BIGINT AS copies FROM r)
 SELECT doc_id, size, source_size, target, size * copies AS taken, rate, copies FROM z
 """
