@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a Python kernel takes at a time (one longer text makes a block of its own).
 BLOCK_BYTES = 8 << 20
@@ -13,6 +15,20 @@ BLOCK_BYTES = 8 << 20
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
 
+#: Bits of a bitmap that sifts rows before they are shuffled.
+SIEVE = 1 << 25
+
+
+def bitmap(places: DataFrame) -> np.ndarray:
+    """The places p (modulo SIEVE) that occur, as a bitmap of SIEVE bits: 4 MB on the driver, whatever the input."""
+    at = F.pmod("p", F.lit(SIEVE))
+    rows = places.select(at.alias("p")).groupBy(F.expr("p div 32768").alias("part")).agg(F.expr("bitmap_construct_agg(p % 32768)").alias("bits")).collect()
+    bits = np.zeros(SIEVE // 8, np.uint8)
+    for part, held in rows:
+        bits[part * 4096 : part * 4096 + len(held)] = np.frombuffer(held, np.uint8)
+    return bits
+
+
 def tune(spark: SparkSession) -> None:
     """Bound the Arrow batches by rows and bytes, so that very long texts don't pile up in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

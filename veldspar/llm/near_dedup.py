@@ -35,14 +35,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as X
-from ._spark import drop_table, tune, written
+from ._spark import SIEVE, bitmap, drop_table, tune, written
 
 WORDS, THRESHOLD = 4, 80
 TREES, DEPTH, SKETCH = 16, 4, 128
 #: Members of a node that is compared exhaustively, and rows of a star that go together.
 SMALL, STAR = 1024, 64
-#: Bits of the bitmap that sifts the texts for the check on full sets.
-SIEVE = 1 << 25
 #: Equal bytes of two sketches: 0.8 * 128 = 102.4, with a standard deviation of 4.5 for a pair at the threshold.
 AGREE_DEVIATIONS = 3.8
 
@@ -342,11 +340,7 @@ def sifted(own: DataFrame, wanted: DataFrame) -> DataFrame:
     wanted ids and a share of others, which the join that follows leaves out. So texts that no pair needs aren't
     shuffled."""
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(SIEVE)).cast("long")
-    rows = wanted.select(place("v").alias("p")).groupBy(F.expr("p div 32768").alias("part")).agg(F.expr("bitmap_construct_agg(p % 32768)").alias("bits")).collect()
-    bits = np.zeros(SIEVE // 8, np.uint8)
-    for part, held in rows:
-        bits[part * 4096 : part * 4096 + len(held)] = np.frombuffer(held, np.uint8)
-    sent = own.sparkSession.sparkContext.broadcast(bits)
+    sent = own.sparkSession.sparkContext.broadcast(bitmap(wanted.select(place("v").alias("p"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
