@@ -89,6 +89,41 @@ def test_held_out_spans_are_found(model):
     assert right >= 180
 
 
+def test_only_stretches_that_cannot_leave_the_outside_are_not_decoded(model):
+    """Decoding stretches gives paths as good as decoding every place, and the scores of training."""
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("ab 01.@+-") if rng.random() < 0.8 else P.made_up(rng)[0] for _ in range(60))[:120].ljust(120) for _ in range(40)]
+    codes = np.stack([P.symbols(t) for t in texts])
+    tagger = P.Tagger(model)
+    scores = P.emissions(model, codes.astype(np.int64))[0]
+    assert tagger.scores(codes, np.full(40, 120)).transpose(0, 2, 1) == pytest.approx(scores, abs=1e-3)
+    value = lambda y, r: model.first[y[0]] + scores[np.arange(120), r, y].sum() + model.moves[y[:-1], y[1:]].sum()
+    best = model.first + scores[0]
+    for t in range(1, 120):
+        best = (best[:, :, None] + model.moves).max(1) + scores[t]
+    got = P.decode(model, codes)
+    assert got.any() and [value(y, r) for r, y in enumerate(got)] == pytest.approx(best.max(1).tolist(), abs=0.05)
+
+
+def test_tags_do_not_depend_on_other_texts(model):
+    rng = random.Random(3)
+    texts = [" ".join(P.made_up(rng)[0] if rng.random() < 0.1 else "thble" for _ in range(rng.choice([1, 5, 60, 300]))) for _ in range(30)]
+    together = P.tagged_spans(model, texts)
+    assert together == [P.tagged_spans(model, [t])[0] for t in texts] and any(together)
+
+
+def test_spans_of_documents_that_were_not_learned_from(spark):
+    """Trained on half of the documents, the tagger alone finds the patterns' spans in the other half."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model = P.train(docs.where("doc_id % 2 = 0"))
+    texts = [r.text for r in docs.where("doc_id % 2 = 1 and (text like '%@%' or text rlike '[0-9]{3}')").select("text").limit(600).collect()]
+    held, found = 0, 0
+    for text, tagged in zip(texts, P.tagged_spans(model, texts), strict=True):
+        own = P.base_spans(text)
+        held, found = held + len(own), found + len(set(own) & set(tagged))
+    assert held >= 50 and found >= 0.9 * held  # 320 of 341 measured
+
+
 def test_windows_are_reconciled(model):
     span = "(811) 555-3281"
     for gap in range(0, 200, 7):
@@ -110,6 +145,13 @@ def test_op8(spark, model):
             assert tuple(got[i][f"n_{k}"] for k in P.KINDS) == tuple(sum(s[1] == j for s in want) for j in range(4))
 
 
+def test_repeated_and_null_ids_and_clashing_columns(spark, model):
+    rows = [(3, "x a@b.c y"), (3, "1.2.3.4"), (None, "a@b.c"), (None, None), (3, "x a@b.c y")]
+    docs = spark.createDataFrame([(i, t, 1, "b") for i, t in rows], "doc_id long, text string, n_email int, base string")
+    got = sorted((r.doc_id or 0, r.n_email, r.base) for r in P.find(docs, model).collect())
+    assert got == sorted((i or 0, int("@" in (t or "")), P.listed(brute(t))) for i, t in rows)
+
+
 def test_whole_query(docs):
     got = P.op8(docs).collect()
     assert len(got) == docs.count()

@@ -4,16 +4,18 @@ Base spans come from four patterns with checks (parts of an address, Luhn, numbe
 others: a BiLSTM over characters gives a score for each tag (outside, begin or inside of a kind), a CRF's transitions
 join them, and Viterbi decodes. It is trained in numpy from labelled spans: windows of a bounded sample of texts, with
 their base spans, and made-up spans in many written forms, put into words of those texts. (A made-up number may lack
-the plus, a check digit or a plain separator: these are the forms that the patterns miss.)
+the plus, a check digit or a plain separator: these are the forms that the patterns miss.) The cells' gates and squashing
+are piecewise linear, which costs a fraction of tanh.
 
-Texts are tagged whole, in overlapping windows; each character takes its tag from the window in which it is farthest
-from an end, and spans are read from the joined tags, so no window's edge cuts one. A window without any digit or @ is
-all outside without being computed, as no kind can do without one. A tagged span is kept if its kind's check holds
-(digits, parts, one @) and no base span overlaps it.
+Every character of every text goes through the BiLSTM, in overlapping windows; a character takes its tag from the window
+in which it is farther from an end, and spans are read from the joined tags, so no window's edge cuts one. Viterbi runs
+over the stretches in which the scores can outweigh what leaving the outside costs (an exact bound). A tagged span is kept if its kind's check holds (digits, parts, one @) and no base span
+overlaps it.
 
 Defined cases: a null text is an empty text, without spans; offsets count code points, ends are exclusive; rows that
-repeat a doc_id are tagged each; without training texts the made-up spans alone are learned from; an empty table
-gives an empty result. Matching is linear in the text's length, also for very long runs of one kind of character.
+repeat a doc_id are tagged each; without training texts the made-up spans alone are learned from; other columns are
+left out; an empty table gives an empty result. Matching is linear in the text's length, also for very long runs of one
+kind of character. Tags don't depend on which other texts are tagged along.
 """
 
 from __future__ import annotations
@@ -40,9 +42,10 @@ IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-WINDOW, STRIDE, AROUND = 96, 48, 28
+#: Windows of training, windows of tagging and how much two of them share, and windows that are computed together.
+TRAIN_WINDOW, WINDOW, SHARED, ROWS = 96, 384, 48, 2048
 EMBED, HIDDEN, TAGS = 12, 16, 1 + 2 * len(KINDS)
-TRAIN_TEXTS, MADE, EPOCHS, BATCH, RATE, SEED = 300, 600, 8, 32, 0.012, 5
+TRAIN_TEXTS, MADE, EPOCHS, BATCH, RATE, SEED = 300, 600, 10, 16, 0.016, 5
 
 
 def digits(text: str) -> str:
@@ -92,7 +95,7 @@ def symbols(text: str) -> np.ndarray:
     return _SYMBOL[np.minimum(code, 128)]
 
 
-_SYMBOL = np.zeros(129, np.int64)
+_SYMBOL = np.zeros(129, np.uint8)
 _SYMBOL[:] = 2
 _SYMBOL[32:127] = np.arange(95) + 3
 _SYMBOL[65:91] = 98
@@ -101,23 +104,9 @@ _SYMBOL[:32] = 99
 SYMBOLS = 100
 
 
-def regions(text: str) -> list[tuple[int, int]]:
-    """Where a digit or @ is within AROUND characters: all else is outside of any span."""
-    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    at = np.flatnonzero(((code >= 48) & (code <= 57)) | (code == 64))
-    if not len(at):
-        return []
-    cut = np.flatnonzero(np.diff(at) > 2 * AROUND) + 1
-    first, last = at[np.concatenate([[0], cut])], at[np.concatenate([cut - 1, [len(at) - 1]])]
-    return [(max(0, int(a) - AROUND), min(len(text), int(b) + AROUND + 1)) for a, b in zip(first, last, strict=True)]
-
-
-def windows(begin: int, end: int) -> list[int]:
-    """Starts of overlapping windows over [begin, end)."""
-    out = [begin]
-    while out[-1] + WINDOW < end:
-        out.append(out[-1] + STRIDE)
-    return out
+def windows(length: int) -> list[int]:
+    """Starts of the windows over a text."""
+    return [*range(0, max(length - SHARED, 1), WINDOW - SHARED)] if length else []
 
 
 # --- the tagger
@@ -142,10 +131,6 @@ def new_model(rng: np.random.Generator) -> Model:
     return Model(rng.normal(0, 0.5, (SYMBOLS, EMBED)), [cell(), cell()], normal(2 * HIDDEN, TAGS), np.zeros(TAGS), np.zeros((TAGS, TAGS)), np.zeros(TAGS))
 
 
-def _sigmoid(z: np.ndarray) -> np.ndarray:
-    return 0.5 * (np.tanh(0.5 * z) + 1)
-
-
 def _lstm(x: np.ndarray, cell: tuple) -> tuple[np.ndarray, list]:
     """x: (steps, rows, EMBED); the gates are forget, input, output, candidate."""
     wx, wh, b = cell
@@ -153,9 +138,9 @@ def _lstm(x: np.ndarray, cell: tuple) -> tuple[np.ndarray, list]:
     out, kept = np.empty((len(x), x.shape[1], HIDDEN)), []
     for t in range(len(x)):
         z = put[t] + h @ wh
-        gates, new = _sigmoid(z[:, : 3 * HIDDEN]), np.tanh(z[:, 3 * HIDDEN :])
+        gates, new = np.clip(0.25 * z[:, : 3 * HIDDEN] + 0.5, 0, 1), np.clip(z[:, 3 * HIDDEN :], -1, 1)
         before, c = c, gates[:, :HIDDEN] * c + gates[:, HIDDEN : 2 * HIDDEN] * new
-        squashed = np.tanh(c)
+        squashed = np.clip(c, -1, 1)
         kept.append((h, before, gates, new, squashed))
         h = out[t] = gates[:, 2 * HIDDEN :] * squashed
     return out, kept
@@ -168,9 +153,11 @@ def _lstm_back(x: np.ndarray, cell: tuple, kept: list, grad: np.ndarray) -> tupl
     for t in reversed(range(len(x))):
         h, before, gates, new, squashed = kept[t]
         forget, enter, leave = (gates[:, k * HIDDEN : (k + 1) * HIDDEN] for k in range(3))
+        slope = 0.25 * ((gates > 0) & (gates < 1))
         d = grad[t] + dh
-        dc = dc + d * leave * (1 - squashed**2)
-        dz[t] = np.concatenate([dc * before * forget * (1 - forget), dc * new * enter * (1 - enter), d * squashed * leave * (1 - leave), dc * enter * (1 - new**2)], 1)
+        dc = dc + d * leave * (np.abs(squashed) < 1)
+        dz[t] = np.concatenate([dc * before, dc * new, d * squashed, dc * enter * (np.abs(new) < 1)], 1)
+        dz[t][:, : 3 * HIDDEN] *= slope
         dwh += h.T @ dz[t]
         dh, dc = dz[t] @ wh.T, dc * forget
     flat = dz.reshape(-1, dz.shape[2])
@@ -222,19 +209,124 @@ def gradients(model: Model, codes: np.ndarray, tags: np.ndarray) -> tuple[float,
     return float((total - gold).mean()), [g / rows for g in out]
 
 
+class Tagger:
+    """A model laid out for tagging: single precision, characters' inputs as a table, one row a feature."""
+
+    def __init__(self, model: Model):
+        single = lambda x: np.ascontiguousarray(x, np.float32)
+        self.cells, scale = [], np.concatenate([np.full(3 * HIDDEN, 0.25), np.ones(HIDDEN)])
+        for k, (wx, wh, b) in enumerate(model.cells):
+            put = (model.embed @ wx + b) * scale + np.concatenate([np.full(3 * HIDDEN, 0.5), np.zeros(HIDDEN)])
+            self.cells.append((single(put.T), single((wh * scale).T), single(model.out[k * HIDDEN : (k + 1) * HIDDEN].T)))
+        self.bias, self.moves, self.first = single(model.bias), single(model.moves), single(model.first)
+        # the most that a tag other than outside can gain by its transitions, over staying outside
+        stay, into, out = self.moves[0, 0], self.moves.max(0), self.moves[:, 0]
+        leaving = np.maximum(0, out - stay)
+        self.gain, self.first_gain = into - stay + leaving, self.first - self.first[0] + leaving
+
+    def _direction(self, codes: np.ndarray, k: int) -> np.ndarray:
+        """codes (steps, rows) -> (steps, TAGS, rows), of one direction."""
+        table, wh, out = self.cells[k]
+        steps, rows = codes.shape
+        scores = np.empty((steps, TAGS, rows), np.float32)
+        h, c, s = (np.zeros((HIDDEN, rows), np.float32) for _ in range(3))
+        z, put = np.empty((4 * HIDDEN, rows), np.float32), np.empty((4 * HIDDEN, rows), np.float32)
+        gates, new = z[: 3 * HIDDEN], z[3 * HIDDEN :]
+        for t in range(steps):
+            np.take(table, codes[t], 1, out=put, mode="clip")
+            np.matmul(wh, h, out=z)
+            z += put
+            np.minimum(z, 1, out=z)
+            np.maximum(gates, 0, out=gates)
+            np.maximum(new, -1, out=new)
+            c *= z[:HIDDEN]
+            np.multiply(z[HIDDEN : 2 * HIDDEN], new, out=s)
+            c += s
+            np.minimum(c, 1, out=s)
+            np.maximum(s, -1, out=s)
+            np.multiply(s, z[2 * HIDDEN : 3 * HIDDEN], out=h)
+            np.matmul(out, h, out=scores[t])
+        return scores
+
+    def scores(self, codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """codes (rows, steps), each row's characters first -> (steps, TAGS, rows). Both directions begin at a row's own end."""
+        rows, steps = codes.shape
+        ahead = self._direction(np.ascontiguousarray(codes.T, np.intp), 0)
+        place = lengths[:, None] - 1 - np.arange(steps)
+        turned = np.where(place >= 0, np.take_along_axis(codes, np.maximum(place, 0), 1), 0)
+        back = self._direction(np.ascontiguousarray(turned.T, np.intp), 1)
+        whole = lengths == steps
+        if whole.all():
+            ahead += back[::-1]
+        else:
+            for r in range(rows):
+                ahead[: lengths[r], :, r] += back[: lengths[r], :, r][::-1]
+        ahead += self.bias[:, None]
+        return ahead
+
+    def decode(self, codes: np.ndarray, lengths: np.ndarray | None = None) -> dict[int, np.ndarray]:
+        """The best tags of the rows that aren't outside throughout."""
+        lengths = np.full(len(codes), codes.shape[1]) if lengths is None else lengths
+        scores = self.scores(codes, lengths)
+        row, begin, end = self._stretches(scores, lengths)
+        out: dict[int, np.ndarray] = {}
+        for r, a, tags in zip(row.tolist(), begin.tolist(), self._best(scores, row, begin, end, lengths), strict=True):
+            if tags.any():
+                own = out.setdefault(r, np.zeros(lengths[r], np.int8))
+                own[a : a + len(tags)] = tags
+        return out
+
+    def _stretches(self, scores: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, begin, end) of the stretches in which a best path may leave the outside.
+
+        over[t] is the most that tagging place t can gain over leaving it outside. A path that leaves the outside over
+        a run of places gains at most the run's sum; a place of which no run has a positive sum stays outside."""
+        over = (scores[:, 1:] + self.gain[1:, None]).max(1) - scores[:, 0]
+        over[0] = np.maximum(over[0], (scores[0, 1:] + self.first_gain[1:, None]).max(0) - scores[0, 0])
+        over += 1e-3
+        over[np.arange(len(over))[:, None] >= lengths] = -1e9
+        upto, after = over.copy(), over.copy()  # the best sums of runs that end, and begin, at each place
+        for t in range(1, len(over)):
+            upto[t] += np.maximum(upto[t - 1], 0)
+            after[-1 - t] += np.maximum(after[-t], 0)
+        held = np.zeros((over.shape[1], len(over) + 2), np.int8)
+        held[:, 1:-1] = (upto + after - over > 0).T
+        edge = np.diff(held, axis=1)
+        (row, begin), (_, end) = np.nonzero(edge == 1), np.nonzero(edge == -1)
+        return row, begin, end
+
+    def _best(self, scores: np.ndarray, row: np.ndarray, begin: np.ndarray, end: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
+        """The tags of the best path in each stretch, between places that are outside (or the ends of a row)."""
+        size = end - begin
+        if not len(size):
+            return []
+        by = np.argsort(-size, kind="stable")
+        row, begin, end, size = row[by], begin[by], end[by], size[by]
+        steps = int(size[0])
+        many = np.searchsorted(-size, -np.arange(steps), side="left")  # the stretches that are longer than t
+        moves = self.moves[:, :, None]
+        best = np.empty((steps, TAGS, len(size)), np.float32)
+        best[0] = scores[begin, :, row].T + np.where(begin == 0, self.first[:, None], self.moves[0][:, None])
+        for t in range(1, steps):
+            m = many[t]
+            best[t, :, :m] = (best[t - 1, :, None, :m] + moves).max(0) + scores[begin[:m] + t, :, row[:m]].T
+        last = best[size - 1, :, np.arange(len(size))].T + np.where(end == lengths[row], 0, self.moves[:, 0][:, None])
+        tags = np.empty((steps, len(size)), np.int8)
+        tags[size - 1, np.arange(len(size))] = last.argmax(0)
+        for t in reversed(range(steps - 1)):
+            m = many[t + 1]
+            tags[t, :m] = (best[t, :, :m] + self.moves[:, tags[t + 1, :m]]).argmax(0)
+        out: list[np.ndarray] = [tags[:0, 0]] * len(size)
+        for k, place in enumerate(by.tolist()):
+            out[place] = tags[: size[k], k]
+        return out
+
+
 def decode(model: Model, codes: np.ndarray) -> np.ndarray:
     """The best tags of each window, (rows, steps)."""
-    scores, _ = emissions(model, codes)
-    steps, rows, _ = scores.shape
-    best, come = scores[0] + model.first, np.empty((steps, rows, TAGS), np.int8)
-    for t in range(1, steps):
-        ways = best[:, :, None] + model.moves
-        come[t] = ways.argmax(1)
-        best = ways.max(1) + scores[t]
-    out = np.empty((rows, steps), np.int64)
-    out[:, -1] = best.argmax(1)
-    for t in reversed(range(1, steps)):
-        out[:, t - 1] = come[t][np.arange(rows), out[:, t]]
+    out = np.zeros(codes.shape, np.int64)
+    for row, tags in Tagger(model).decode(codes).items():
+        out[row] = tags
     return out
 
 
@@ -271,10 +363,10 @@ def tags_of(length: int, spans: list[tuple[int, int, int]]) -> np.ndarray:
 
 
 def _window(text: str, spans: list, begin: int) -> tuple[np.ndarray, np.ndarray]:
-    codes, tags = np.zeros(WINDOW, np.int64), np.zeros(WINDOW, np.int64)
-    own = symbols(text[begin : begin + WINDOW])
+    codes, tags = np.zeros(TRAIN_WINDOW, np.int64), np.zeros(TRAIN_WINDOW, np.int64)
+    own = symbols(text[begin : begin + TRAIN_WINDOW])
     codes[: len(own)] = own
-    tags[: len(own)] = tags_of(len(text), spans)[begin : begin + WINDOW]
+    tags[: len(own)] = tags_of(len(text), spans)[begin : begin + TRAIN_WINDOW]
     return codes, tags
 
 
@@ -298,21 +390,25 @@ def made_up(rng: random.Random) -> tuple[str, int]:
     return rng.choice([f"+1 ({area}) {mid}-{last}", f"+{number(2)} {area} {mid} {last}", f"+1-{area}-{mid}-{last}", f"001 {area} {mid} {last}", plain, plain]), kind
 
 
+_SIGNS = re.compile("[0-9@][^0-9@]{0,40}")
+
+
 def examples(texts: list[str], made: int = MADE, seed: int = SEED) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Windows with their tags: those of the texts' base spans and other digits, then made-up spans among their words."""
+    """Windows with their tags: those of the texts' base spans and other digits and of any place, then made-up spans
+    among their words."""
     rng = random.Random(seed)
     out = []
     words = [w for t in texts[:50] for w in t.split()[:200] if w.isalpha()] or ["the", "of", "and", "in"]
     for text in texts:
         spans = base_spans(text)
-        places = [s[0] for s in spans] + [a for a, _ in regions(text)]
-        for at in rng.sample(places, min(3, len(places))):
-            begin = max(0, at - rng.randint(0, WINDOW // 2))
+        places = [s[0] for s in spans] + [m.start() for m in _SIGNS.finditer(text)]
+        for at in [*rng.sample(places, min(3, len(places))), rng.randrange(len(text) + 1)]:
+            begin = max(0, at - rng.randint(0, TRAIN_WINDOW // 2))
             out.append(_window(text, spans, begin))
     others = (lambda: f"version {rng.randint(0, 9)}.{rng.randint(0, 9)}.", lambda: str(rng.randint(0, 10 ** rng.randint(1, 9))), lambda: f"{rng.randint(1900, 2030)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}", lambda: f"@{rng.choice(words)}", lambda: f"{rng.randint(1, 9)},{rng.randint(100, 999)}.{rng.randint(10, 99)}", lambda: '"' + "".join(rng.choice("0123456789abcdef") for _ in range(40)) + '"')
     for _ in range(made):
         text, spans = "", []
-        while len(text) < WINDOW:
+        while len(text) < TRAIN_WINDOW:
             text += " ".join(rng.choice(words) for _ in range(rng.randint(1, 5))) + rng.choice([" ", ", ", ": ", " - ", "\n", " | "])
             if rng.random() < 0.6:
                 span, kind = made_up(rng)
@@ -320,7 +416,7 @@ def examples(texts: list[str], made: int = MADE, seed: int = SEED) -> list[tuple
                 text += span + rng.choice([" ", ". ", ", ", "\n", "!! "])
             elif rng.random() < 0.5:
                 text += rng.choice(others)() + " "
-        out.append(_window(text, spans, rng.randint(0, max(0, len(text) - WINDOW))))
+        out.append(_window(text, spans, rng.randint(0, max(0, len(text) - TRAIN_WINDOW))))
     return out
 
 
@@ -328,45 +424,38 @@ def train(docs: DataFrame, texts: int = TRAIN_TEXTS) -> Model:
     """Fitted on at most `texts` texts that hold a digit or @, picked by a hash of doc_id."""
     usable = docs.where(F.col("text").rlike("[0-9@]") & (F.octet_length("text") <= TRAIN_BYTES))
     ids = usable.select(F.col("doc_id").cast("long").alias("__id")).orderBy(F.xxhash64(F.col("__id"), F.lit(23)), "__id").limit(texts)
-    got = usable.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").alias("__text")).join(F.broadcast(ids.distinct()), "__id").collect()
-    return fit(examples([t for _, t in sorted(tuple(r) for r in got)][:texts]))
+    own = usable.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").alias("__text")).join(F.broadcast(ids.distinct()), "__id")
+    got = own.orderBy(F.xxhash64("__id", F.lit(23)), "__id", "__text").limit(texts).collect()
+    return fit(examples([t for _, t in sorted(tuple(r) for r in got)]))
 
 
 # --- tagging
 
 
-def tagged_spans(model: Model, texts: list[str], most: int = 512) -> list[list[tuple[int, int, int]]]:
+def tagged_spans(model: Tagger | Model, texts: list[str]) -> list[list[tuple[int, int, int]]]:
     """Spans that the tagger finds in each text, before the checks."""
-    jobs = [(i, a, b, w) for i, text in enumerate(texts) for a, b in regions(text) for w in windows(a, b)]
-    coded = {i: symbols(texts[i]) for i in {j[0] for j in jobs}}
-    tags = {i: np.zeros(len(c), np.int64) for i, c in coded.items()}
-    depth = {i: np.full(len(c), -1) for i, c in coded.items()}  # how far from its window's end a tag was
-    inner = np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1])
-    for at in range(0, len(jobs), most):
-        some = jobs[at : at + most]
-        codes = np.zeros((len(some), WINDOW), np.int64)
-        for row, (i, _, b, w) in zip(codes, some, strict=True):
-            own = coded[i][w : min(b, w + WINDOW)]
-            row[: len(own)] = own
-        for got, (i, a, b, w) in zip(decode(model, codes), some, strict=True):
-            n = min(b, w + WINDOW) - w
-            own = inner[:n].copy()
-            if w == a:  # nothing is cut off at a region's own ends
-                own[: WINDOW // 2] = WINDOW
-            if w + n == b:
-                own[min(n, WINDOW // 2) :] = WINDOW
-            better = own > depth[i][w : w + n]
-            tags[i][w : w + n][better] = got[:n][better]
-            depth[i][w : w + n][better] = own[better]
+    tagger = model if isinstance(model, Tagger) else Tagger(model)
+    coded = [symbols(t) for t in texts]
+    # windows of like length are computed together
+    jobs = sorted(((min(WINDOW, len(c) - w), i, w) for i, c in enumerate(coded) for w in windows(len(c))), reverse=True)
+    tags: dict[int, np.ndarray] = {}
+    for at in range(0, len(jobs), ROWS):
+        some = jobs[at : at + ROWS]
+        codes = np.zeros((len(some), some[0][0]), np.uint8)
+        for row, (n, i, w) in zip(codes, some, strict=True):
+            row[:n] = coded[i][w : w + n]
+        for k, own in tagger.decode(codes, np.array([n for n, _, _ in some])).items():
+            n, i, w = some[k]
+            first = SHARED // 2 if w else 0  # of what two windows share, each gives the half that is farther from its end
+            last = n if w + n == len(coded[i]) else n - SHARED // 2
+            tags.setdefault(i, np.zeros(len(coded[i]), np.int8))[w + first : w + last] = own[first:last]
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     for i, own in tags.items():
         kind = np.where(own > 0, (own - 1) // 2, -1)
         start = (own > 0) & ((own % 2 == 1) | (np.concatenate([[-1], kind[:-1]]) != kind))
+        after = np.append(np.flatnonzero(start | (own == 0)), len(own))
         for a in np.flatnonzero(start).tolist():
-            b = a + 1
-            while b < len(own) and own[b] == 2 + 2 * kind[a]:
-                b += 1
-            out[i].append((a, int(kind[a]), b))
+            out[i].append((a, int(kind[a]), int(after[np.searchsorted(after, a, side="right")])))
     return out
 
 
@@ -407,19 +496,16 @@ def find(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, base and all spans as kind:start:end lists, and the number of base spans of each kind."""
     tune(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    sign = np.zeros(256, bool)
-    sign[48:58] = sign[64] = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tagger = Tagger(sent.value)
         for block in X.blocks(batches, 1, 4 << 20):
-            raw, offsets = X.buffers(block.column(1))
-            upto = np.concatenate([[0], np.cumsum(sign[raw])])[offsets]
-            held = np.flatnonzero(upto[1:] > upto[:-1])
-            base, spans, counts = [""] * block.num_rows, [""] * block.num_rows, np.zeros((len(KINDS), block.num_rows), np.int64)
-            texts = [block.column(1)[int(i)].as_py() for i in held]
-            for i, text, tagged in zip(held.tolist(), texts, tagged_spans(sent.value, texts), strict=True):
+            texts = [t.as_py() or "" for t in block.column(1)]
+            base, spans, counts = [], [], np.zeros((len(KINDS), block.num_rows), np.int64)
+            for i, (text, tagged) in enumerate(zip(texts, tagged_spans(tagger, texts), strict=True)):
                 own = base_spans(text)
-                base[i], spans[i] = listed(own), listed(all_spans(own, tagged, text))
+                base.append(listed(own))
+                spans.append(listed(all_spans(own, tagged, text)))
                 for _, kind, _ in own:
                     counts[kind, i] += 1
             yield pa.RecordBatch.from_arrays([block.column(0), pa.array(base, pa.string()), pa.array(spans, pa.string()), *map(pa.array, counts)], names=[c.split()[0] for c in SCHEMA.split(", ")])
