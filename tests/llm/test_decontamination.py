@@ -69,3 +69,33 @@ def test_empty(spark, docs):
     bench = spark.createDataFrame([(1, "one two")], "item_id long, text string")
     assert D.op1(docs.limit(0), bench).collect() == []
     assert not any(r.contaminated for r in D.op1(docs, bench.limit(0)).collect())
+
+
+@pytest.mark.parametrize(("part", "followed"), [(8 << 20, 3), (120, 1 << 20)])
+def test_passes_and_runs_of_matches_change_nothing(spark, monkeypatch, part, followed):
+    monkeypatch.setattr(D, "PART_BYTES", part)
+    monkeypatch.setattr(D, "FOLLOWED", followed)
+    rng = random.Random(8)
+    common = " ".join(f"c{k}" for k in range(14))
+    text = lambda: " ".join(rng.choice(["x", "y", common, "z q", "c3 c4"]) for _ in range(rng.randint(0, 12)))
+    rows = [(k % 25 if k % 6 else None, text(), "a", k, "b") for k in range(60)]
+    rows += [rows[7], (4, None, "a", 60, "b"), (4, "", "a", 61, "b")]
+    items = [(k, f"{common[k % 4:]} {text()}") for k in range(12)] + [(None, common), (3, "q q"), (None, "unseen words"), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key string, row int, runs string")
+    bench = spark.createDataFrame([(*r, "k") for r in items], "item_id long, text string, key string")
+
+    def want(t):
+        n_words, n_hit, _, _, hit = brute(t, items)
+        own = sorted(str(i) for i, x in items if i is not None and brute(t, [(i, x)])[-1])
+        own = sorted(set(own))
+        return n_words, n_hit, len(own), hashlib.sha256(",".join(own).encode()).hexdigest(), hit
+
+    order = lambda r: (r[0] is None, r[0] or 0, *r[1:])
+    assert sorted((tuple(r) for r in D.op1(docs, bench).collect()), key=order) == sorted(((r[0], *want(r[1])) for r in rows), key=order)
+    clean = D.decontaminate(docs, bench)
+    assert clean.columns == docs.columns
+    assert sorted(r.row for r in clean.collect()) == sorted(r[3] for r in rows if not want(r[1])[-1])
+    if part < 1000:
+        assert D.n_parts(bench) > 3
+    longest = {r.item_id: r.n_words for r in D.longest_matches(docs, bench).collect()}
+    assert longest["0"] >= 14 and longest[None] == 14

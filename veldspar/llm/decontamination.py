@@ -7,29 +7,32 @@ length. Matches are left-maximal verbatim runs (doc, word position, item, item p
 least `window` words, or of a whole item that is shorter. Numbering is exact (a dictionary of the words' bytes),
 so a match needs no further check. A document lies in one shard, so nothing is shuffled.
 
-The test items are sent to the executors in parts of at most PART_BYTES; more items mean more passes.
+The test items are broadcast in parts of about PART_BYTES, one part at a time: a larger benchmark means more passes
+over the documents, whose results are written, and each part is gone before the next is read. The matches of a shard
+are followed FOLLOWED at a time, so a passage that many items and many documents share takes time but no memory.
 
 Defined cases: a null or empty text has no words and no match; an item without words matches nothing; rows with a
-repeated doc_id are searched each on their own; rows with the same item_id are items of that one id; an empty
-table of documents gives no rows, an empty benchmark no matches.
+repeated doc_id are searched each on their own; rows with the same item_id are items of that one id; an item without
+an id hits words but isn't listed or counted; extra columns may have any name; an empty table of documents gives no
+rows, an empty benchmark no matches.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as X
-from ._spark import tune
+from ._spark import tune, written
 
 WINDOW = 10
-PART_BYTES = 8 << 20
+PART_BYTES, FOLLOWED = 8 << 20, 1 << 20
 
 
 class Words:
@@ -129,11 +132,10 @@ class Shard:
             lo[open_[right]] = mid[right] + 1
             hi[open_[~right]] = mid[~right]
 
-    def matches(self, items: Items) -> tuple[np.ndarray, ...]:
-        """Text, word position, item, item position and words of every left-maximal match."""
-        none = (np.zeros(0, np.int64),) * 5
+    def matches(self, items: Items) -> Iterator[tuple[np.ndarray, ...]]:
+        """Text, word position, item, item position and words of every left-maximal match, in runs of about FOLLOWED."""
         if not len(self.order) or not len(items.item):
-            return none
+            return
         found = pc.index_in(items.words, self.dictionary)
         ids = np.concatenate([found.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) + 1, np.zeros(items.window, np.int64)])
         ids[: len(found)][ids[: len(found)] == 0] = -1  # not a word of the shard
@@ -142,10 +144,13 @@ class Shard:
         wanted = ids[start[:, None] + span]
         here = np.flatnonzero(~((wanted == -1) & (span < items.least[:, None])).any(1))
         lo = self._bound(wanted[here], items.least[here], False)
-        hi = self._bound(wanted[here], items.least[here], True)
-        many = hi - lo
-        if not many.sum():
-            return none
+        many = self._bound(wanted[here], items.least[here], True) - lo
+        runs = (np.cumsum(many) - many) // FOLLOWED
+        for k in np.unique(runs[many > 0]):
+            own = (runs == k) & (many > 0)
+            yield self._followed(items, ids, start, here[own], lo[own], many[own])
+
+    def _followed(self, items: Items, ids: np.ndarray, start: np.ndarray, here: np.ndarray, lo: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, ...]:
         q = np.repeat(here, many)
         at = self.order[np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo, many)]
         left = (items.place[q] > 0) & (at > 0) & (self.x[np.maximum(at - 1, 0)] == ids[np.maximum(start[q] - 1, 0)])
@@ -158,34 +163,43 @@ class Shard:
         text = np.searchsorted(self.text_at, at, side="right") - 1
         return text, at - self.text_at[text], items.item[q], items.place[q], length
 
-    def hit_words(self, text: np.ndarray, place: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """How many words of each text lie in a match."""
+    def hits(self, items: Items) -> tuple[list[set], list[list[tuple[int, int]]]]:
+        """For each text, the items that match, and the runs of words that lie in a match."""
+        found: list[set] = [set() for _ in self.counts]
         change = np.zeros(len(self.x) + 1, np.int64)
-        np.add.at(change, self.text_at[text] + place, 1)
-        np.add.at(change, self.text_at[text] + place + length, -1)
-        inside = np.concatenate([[0], np.cumsum(np.cumsum(change) > 0)])
-        return inside[self.text_at[:-1] + self.counts] - inside[self.text_at[:-1]]
-
-
-def item_parts(benchmark: DataFrame, window: int) -> list:
-    """The benchmark as broadcast Items, each of at most about PART_BYTES of text; read part by part."""
+        for text, place, item, _, words in self.matches(items):
+            for pair in np.unique(text * len(items.ids) + item).tolist():
+                found[pair // len(items.ids)].add(items.ids[pair % len(items.ids)])
+            np.add.at(change, self.text_at[text] + place, 1)
+            np.add.at(change, self.text_at[text] + place + words, -1)
+        edge = np.diff(np.concatenate([[0], (np.cumsum(change) > 0).astype(np.int8)]))
+        begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)  # a zero after each text parts their runs
+        runs: list[list[tuple[int, int]]] = [[] for _ in self.counts]
+        text = np.searchsorted(self.text_at, begin, side="right") - 1
+        for t, a, b in zip(text.tolist(), (begin - self.text_at[text]).tolist(), (end - self.text_at[text]).tolist(), strict=True):
+            runs[t].append((a, b))
+        return found, runs
+
+
+def n_parts(benchmark: DataFrame) -> int:
+    return -(-max(1, benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]) // PART_BYTES)
+
+
+def passes(benchmark: DataFrame, window: int, n: int) -> Iterator[Broadcast]:
+    """The benchmark in n parts, each broadcast for as long as its pass lasts."""
     spark = benchmark.sparkSession
-    total = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n = -(-max(1, total) // PART_BYTES)
-    parts = []
     for k in range(n):
-        own = benchmark.select("item_id", "text").where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k) if n > 1 else benchmark.select("item_id", "text")
-        rows = own.collect()
-        parts.append(spark.sparkContext.broadcast(Items([r[0] for r in rows], [r[1] for r in rows], window)))
-    return parts
+        own = benchmark.select("item_id", "text").where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else benchmark.select("item_id", "text")
+        rows = own.collect()  # about PART_BYTES
+        sent = spark.sparkContext.broadcast(Items([r[0] for r in rows], [r[1] for r in rows], window))
+        yield sent
+        if n > 1:
+            sent.destroy()
 
 
-def _searched(batches: Iterator[pa.RecordBatch], column: int, parts: list) -> Iterator[tuple]:
-    depth = max([1, *(p.value.depth for p in parts)])
+def _shards(batches: Iterator[pa.RecordBatch], column: int, items: Items) -> Iterator[tuple[pa.RecordBatch, Shard]]:
     for block in X.blocks(batches, column):
-        shard = Shard(block.column(column), depth)
-        found = [(p.value, shard.matches(p.value)) for p in parts]
-        yield block, shard, found
+        yield block, Shard(block.column(column), max(1, items.depth))
 
 
 MATCHES = "doc_id long, doc_place long, item_id string, item_place long, n_words long"
@@ -194,14 +208,20 @@ MATCHES = "doc_id long, doc_place long, item_id string, item_place long, n_words
 def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Every left-maximal verbatim match: where it is in the document and in the item (from 0), and its words."""
     tune(docs.sparkSession)
-    parts = item_parts(benchmark, window)
+    n, out = n_parts(benchmark), None
+    for sent in passes(benchmark, window, n):
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, _, found in _searched(batches, 1, parts):
-            for items, (text, place, item, item_place, words) in found:
-                yield pa.RecordBatch.from_arrays([block.column(0).take(pa.array(text)), pa.array(place), pa.array([str(x) for x in items.ids[item]], pa.string()), pa.array(item_place), pa.array(words)], names=[c.split()[0] for c in MATCHES.split(", ")])
+        def run(batches: Iterator[pa.RecordBatch], sent: Broadcast = sent) -> Iterator[pa.RecordBatch]:
+            items = sent.value
+            for block, shard in _shards(batches, 1, items):
+                for text, place, item, item_place, words in shard.matches(items):
+                    ids = pa.array([None if x is None else str(x) for x in items.ids[item]], pa.string())
+                    yield pa.RecordBatch.from_arrays([block.column(0).take(pa.array(text)), pa.array(place), ids, pa.array(item_place), pa.array(words)], names=[c.split()[0] for c in MATCHES.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, MATCHES)
+        found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, MATCHES)
+        found = written(found, "matches") if n > 1 else found
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -210,38 +230,58 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
     return find_matches(docs, benchmark, window).groupBy("item_id").agg(best).select("item_id", F.col("m.n_words").alias("n_words"), (-F.col("m.d")).alias("doc_id"), (-F.col("m.p")).alias("doc_place"), (-F.col("m.i")).alias("item_place"))
 
 
-def _joined(items: set) -> str:
-    return ",".join(sorted({str(x) for x in items}))
+RUNS = "array<struct<s:long,e:long>>"
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items (ids as sorted strings, comma-joined) of each document."""
+def _hits(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
+    """doc_id, key, n_words, items (ids as strings), runs of hit words of each row. Rows of one key have one text."""
     tune(docs.sparkSession)
-    parts = item_parts(benchmark, window)
+    schema = f"doc_id long, key string, n_words long, items array<string>, runs {RUNS}"
+    rows = docs.select(F.col("doc_id").cast("long"), F.md5("text").alias("key"), "text")
+    n, every, more = n_parts(benchmark), None, None
+    for sent in passes(benchmark, window, n):
+
+        def run(batches: Iterator[pa.RecordBatch], sent: Broadcast = sent) -> Iterator[pa.RecordBatch]:
+            for block, shard in _shards(batches, 2, sent.value):
+                items, runs = shard.hits(sent.value)
+                listed = pa.array([sorted({str(x) for x in own if x is not None}) for own in items], pa.list_(pa.string()))
+                spans = pa.array([[{"s": a, "e": b} for a, b in own] for own in runs], pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())])))
+                yield pa.RecordBatch.from_arrays([block.column(0), block.column(1), pa.array(shard.counts), listed, spans], names=["doc_id", "key", "n_words", "items", "runs"])
+
+        found = rows.mapInArrow(run, schema)
+        if n == 1:
+            return found
+        found = written(found, "hits")
+        hit = found.where(F.size("runs") > 0).select("doc_id", "key", "items", "runs")
+        every, more = (found, hit) if every is None else (every, more.unionByName(hit))
+    merged = more.distinct().groupBy("doc_id", "key").agg(F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.flatten(F.collect_list("runs")).alias("runs"))
+    merged = merged.withColumnsRenamed({"doc_id": "__id", "key": "__key"})
+    own = every.select("doc_id", "key", "n_words").join(merged, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("key") == F.col("__key")), "left")
+    return own.select("doc_id", "key", "n_words", F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("runs", F.array().cast(RUNS)).alias("runs"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, shard, found in _searched(batches, 1, parts):
-            n = block.num_rows
-            items: list[set] = [set() for _ in range(n)]
-            for own, (text, _, item, _, _) in found:
-                for t, i in {*zip(text.tolist(), item.tolist(), strict=True)}:
-                    items[t].add(own.ids[i])
-            hit = shard.hit_words(*(np.concatenate([m[k] for _, m in found]) for k in (0, 1, 4)))
-            yield pa.RecordBatch.from_arrays([block.column(0), pa.array(shard.counts), pa.array(hit), pa.array([len(x) for x in items], pa.int64()), pa.array([_joined(x) for x in items], pa.string())], names=["doc_id", "n_words", "n_hit", "n_items", "items"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items string")
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items (ids as sorted strings, comma-joined) of each document."""
+    start = F.struct(F.lit(0).cast("long").alias("upto"), F.lit(0).cast("long").alias("n"))
+    more = lambda at, x: F.struct(F.greatest(at["upto"], x["e"]).alias("upto"), (at["n"] + F.greatest(x["e"] - F.greatest(x["s"], at["upto"]), F.lit(0))).alias("n"))
+    n_hit = F.aggregate(F.array_sort("runs"), start, more, lambda at: at["n"])
+    return _hits(docs, benchmark, window).select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.array_join(F.array_sort("items"), ",").alias("items"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of docs in which no window of the benchmark occurs, in all their columns."""
     tune(docs.sparkSession)
-    parts = item_parts(benchmark, window)
-    column = docs.columns.index("text")
+    n, column = n_parts(benchmark), docs.columns.index("text")
+    if n > 1:
+        hit = _hits(docs, benchmark, window).where(F.size("runs") > 0).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).distinct()
+        rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.md5("text").alias("key"))
+        return rows.join(hit, F.col("id").eqNullSafe(F.col("__id")) & (F.col("key") == F.col("__key")), "left_anti").select("row.*")
+    (sent,) = passes(benchmark, window, 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, _, found in _searched(batches, column, parts):
+        for block, shard in _shards(batches, column, sent.value):
             clean = np.ones(block.num_rows, bool)
-            for _, (text, *_) in found:
+            for text, *_ in shard.matches(sent.value):
                 clean[text] = False
             yield block.filter(pa.array(clean))
 
