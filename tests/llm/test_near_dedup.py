@@ -68,6 +68,31 @@ def test_large_nodes_are_branched_and_blocked(spark, copies, monkeypatch):
     assert result(N.op2(docs)) == brute(copies)
 
 
+def test_hot_copies_and_stars_and_one_large_component(spark, monkeypatch):
+    """A third of all rows are copies of one text, another third are near copies of one another; some look like them."""
+    monkeypatch.setattr(N, "SMALL", 16)
+    monkeypatch.setattr(N, "HOT", 4)
+    rng = random.Random(6)
+    base = [f"b{k}" for k in range(120)]
+    rows = ["one text that has many exact copies here"] * 150
+    for _ in range(150):
+        copy = list(base)
+        copy[rng.randrange(120)] = f"x{rng.randrange(10**6)}"
+        rows.append(" ".join(copy))
+    for k in range(60):  # half of these share half of the words
+        rows.append(" ".join(base[:90] if k % 2 else [f"y{k}-{i}" for i in range(90)]) + " " + " ".join(f"z{k}-{i}" for i in range(30)))
+    docs = list(enumerate(rows, 5))
+    got = N.op2(spark.createDataFrame(docs, "doc_id long, text string").repartition(6))
+    assert result(got) == brute(docs)
+
+
+def test_nodes_with_many_shingles_are_blocked(spark, copies, monkeypatch):
+    monkeypatch.setattr(N, "SHINGLES", 300)
+    docs = spark.createDataFrame([(i, t, "c", 1) for i, t in copies], "doc_id long, text string, gone string, id int")
+    assert result(N.op2(docs)) == brute(copies)
+    assert N.near_dedup(docs).columns == docs.columns
+
+
 def test_one_document_of_each_group_stays(spark, copies):
     docs = spark.createDataFrame([(i, t, "x") for i, t in copies], "doc_id long, text string, source string")
     kept = N.near_dedup(docs)

@@ -3,8 +3,8 @@
 A document's set holds the 64-bit hashes of its distinct shingles of `words` words. Documents with equal sets are
 one vertex. In each of TREES independent trees, a vertex takes at each level the branch named by its minwise token
 under that level's hash function, so that two sets of similarity J stay together for one level with probability J.
-A node at level 1 that is small is compared exhaustively; a large node is branched again, down to DEPTH levels; a
-node still large there is compared exhaustively in blocks of pairs of parts. With depth d and T trees, a pair is
+A node at level 1 that is small (in members and in shingles) is compared exhaustively; a large node is branched again,
+down to DEPTH levels; a node still large there is compared in blocks of bounded size. With depth d and T trees, a pair is
 missed with probability (1 - J^d)^T: 7e-12 for J = 0.8, d = 1 and T = 16.
 
 Comparing goes in two rounds, so that a group of near copies doesn't give all its pairs:
@@ -16,8 +16,9 @@ that a similar pair fails with probability below 1e-4, and if its sizes allow th
 on the full sets, recomputed from the whole texts: 100 * |A and B| >= threshold * |A or B|.
 
 Components come from large-star and small-star steps over the links, each step a written table; nothing about all
-documents reaches the driver. Hot groups: equal sets collapse by a partial aggregate before any pairing, nodes and
-stars are handed out in parts of bounded size, and the joins' hot keys can be split by adaptive execution.
+documents reaches the driver. Hot groups: equal sets collapse by a partial aggregate before any pairing, and the classes and
+stars that hold over 1/HOT of all rows (fewer than HOT of them) are broadcast or dealt out in parts. A task holds the
+set of a star's centre and streams the rest, or the sets of one block.
 
 Defined cases: a text without words, or null, has an empty set and is linked with nothing; a text of fewer than
 `words` words has its whole sequence as one shingle; equal rows get equal results, and rows that share a doc_id but
@@ -27,7 +28,7 @@ empty table gives an empty result; other columns are left alone.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +40,10 @@ from ._spark import SIEVE, bitmap, drop_table, tune, written
 
 WORDS, THRESHOLD = 4, 80
 TREES, DEPTH, SKETCH = 16, 4, 128
-#: Members of a node that is compared exhaustively, and rows of a star that go together.
-SMALL, STAR = 1024, 64
+#: Members of a node that is compared exhaustively, and the shingles in their sets altogether.
+SMALL, SHINGLES = 1024, 8 << 20
+#: A class of copies or a star that holds over 1/HOT of all rows (there are fewer than HOT of them) is dealt with apart.
+HOT = 1000
 #: Equal bytes of two sketches: 0.8 * 128 = 102.4, with a standard deviation of 4.5 for a pair at the threshold.
 AGREE_DEVIATIONS = 3.8
 
@@ -135,20 +138,26 @@ def similar_pairs(pairs: DataFrame, vertices: DataFrame, threshold: int) -> Data
     return sized.select("a", "b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of equal values in the first column, which the rows are sorted by; a run may go over batches."""
+def _groups(batches: Iterator[pa.RecordBatch], made: Callable[[pa.RecordBatch], list] | None = None) -> Iterator:
+    """Runs of equal values in the first column, which the rows are sorted by; a run may go over batches. With made,
+    also what it makes of each row, in place of the last column."""
     held: list[pa.RecordBatch] = []
+    extra: list = []
     for batch in batches:
         keys = batch.column(0).to_numpy()
         cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1 if len(keys) else []
         for a, b in zip([0, *cuts], [*cuts, len(keys)], strict=True):
             if b > a:
                 if held and held[0].column(0)[0].as_py() != keys[a]:
-                    yield X.merged(held)
-                    held = []
-                held.append(batch.slice(a, b - a))
+                    yield (X.merged(held), extra) if made else X.merged(held)
+                    held, extra = [], []
+                part = batch.slice(a, b - a)
+                if made:
+                    extra += made(part)
+                    part = part.select(range(part.num_columns - 1))
+                held.append(part)
     if held:
-        yield X.merged(held)
+        yield (X.merged(held), extra) if made else X.merged(held)
 
 
 def _candidates(group: pa.RecordBatch, threshold: int, least: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -195,31 +204,35 @@ def similar(x: np.ndarray, y: np.ndarray, threshold: int) -> bool:
 def node_links(members: DataFrame, texts: DataFrame, words: int, threshold: int) -> DataFrame:
     """(a, b): links between components that the full sets of each node's members confirm. A node's candidates are
     taken from the most to the least alike, and a pair whose components a link has joined by then isn't looked at: what
-    is written is at most one link less than the node has components."""
+    is written is at most one link less than the node has components. A node's sets are held, its texts are not."""
     least = agreement(threshold)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches):
-            sets, v, c = Sets(group.column(6), words), group.column(1).to_pylist(), group.column(2).to_pylist()
-            pairs = [(np.full(len(j), i), j, agree) for i, j, agree in _candidates(group, threshold, least)]
-            if not pairs:
-                continue
-            a, b, agree = (np.concatenate(x) for x in zip(*pairs, strict=True))
-            up: dict[int, int] = {}
-
-            def root(x: int) -> int:
-                while (y := up.get(x, x)) != x:
-                    up[x] = up.get(y, y)
-                    x = up[x]
-                return x
+    def links(group: pa.RecordBatch, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+        v, c = group.column(1).to_pylist(), group.column(2).to_pylist()
+        pairs = [(np.full(len(j), i), j, agree) for i, j, agree in _candidates(group, threshold, least)]
+        if not pairs:
+            return []
+        a, b, agree = (np.concatenate(x) for x in zip(*pairs, strict=True))
+        up: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (y := up.get(x, x)) != x:
+                up[x] = up.get(y, y)
+                x = up[x]
+            return x
+
+        found = []
+        for k in np.argsort(-agree, kind="stable"):
+            i, j = int(a[k]), int(b[k])
+            x, y = root(c[i]), root(c[j])
+            if x != y and similar(sets[i], sets[j], threshold):
+                up[x] = y
+                found.append((v[i], v[j]))
+        return found
 
-            found = []
-            for k in np.argsort(-agree, kind="stable"):
-                i, j = int(a[k]), int(b[k])
-                x, y = root(c[i]), root(c[j])
-                if x != y and similar(sets[i], sets[j], threshold):
-                    up[x] = y
-                    found.append((v[i], v[j]))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group, sets in _groups(batches, lambda part: _own_sets(part.column(6), words)):
+            found = links(group, sets)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
 
@@ -227,30 +240,43 @@ def node_links(members: DataFrame, texts: DataFrame, words: int, threshold: int)
     return sent.mapInArrow(run, "a long, b long")
 
 
+def _own_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
+    """The set of each text, the texts taken a few at a time."""
+    out: list[np.ndarray] = []
+    for block in X.blocks(iter([pa.RecordBatch.from_arrays([texts], names=["text"])]), 0, 1 << 20):
+        sets = Sets(block.column(0), words)
+        out += [sets[i].copy() for i in range(len(sets))]
+    return out
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, words: int, threshold: int) -> DataFrame:
-    """pairs (key, a, b), texts (v, text) -> (a, b) of those that are similar on full sets. The texts that a key's
-    pairs need are sent together, each once."""
-    listed = pairs.groupBy("key", F.col("a").alias("v")).agg(F.collect_set("b").alias("with"))
-    other = pairs.select("key", F.col("b").alias("v"))
-    members = listed.unionByName(other.distinct().withColumn("with", F.array().cast("array<long>")))
+    """Distinct pairs (a, b), texts (v, text) -> (a, b) of those that are similar on full sets.
+
+    The pairs of one a make a star. A task goes through a star's texts with the set of a alone in memory. A star that
+    holds over 1/HOT of the pairs is dealt out in parts of that size, with a in each."""
+    total = pairs.count()
+    many = pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") * HOT > total)
+    hot = pairs.sparkSession.createDataFrame([(r[0], -(-r[1] * HOT // total)) for r in many.collect()], "a long, parts int")  # fewer than HOT rows
+    parted = pairs.join(F.broadcast(hot), "a", "left").withColumn("part", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int"))
+    rows = parted.select("a", "part", F.lit(1).alias("role"), F.col("b").alias("v"))
+    heads = parted.select("a", "part").distinct().select("a", "part", F.lit(0).alias("role"), F.col("a").alias("v"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches):
-            sets, v = Sets(group.column(3), words), group.column(1).to_pylist()
-            place: dict[int, list[int]] = {}
-            for i, x in enumerate(v):
-                place.setdefault(x, []).append(i)
-            found = set()
-            for i, with_ in enumerate(group.column(2).to_pylist()):
-                for b in with_:
-                    for j in place[b]:
-                        if similar(sets[i], sets[j], threshold):
-                            found.add((v[i], b))
+        star, centres = None, []  # several where a doc_id repeats
+        for batch in batches:
+            a, part, role, v = (batch.column(k).to_pylist() for k in range(4))
+            found = []
+            for i, own in enumerate(_own_sets(batch.column(4), words)):
+                if (a[i], part[i]) != star:
+                    star, centres = (a[i], part[i]), []
+                if role[i] == 0:
+                    centres.append(own)
+                elif any(similar(x, own, threshold) for x in centres):
+                    found.append((a[i], v[i]))
             if found:
-                a, b = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
 
-    sent = members.join(texts, "v").select("key", "v", "with", "text").repartition("key").sortWithinPartitions("key")
+    sent = rows.unionByName(heads).join(texts, "v").select("a", "part", "role", "v", "text").repartition("a", "part").sortWithinPartitions("a", "part", "role")
     return sent.mapInArrow(run, "a long, b long")
 
 
@@ -277,39 +303,63 @@ def _keys(level: int) -> Column:
 
 
 def _second_round(vertices: DataFrame, first: DataFrame, threshold: int) -> DataFrame:
-    """Members of nodes of at most SMALL members, by level, that have a candidate of another component in their node."""
-    rows = vertices.select("v", _keys(1)).join(first, "v", "left").select("tree", "key", "v", F.coalesce("c", "v").alias("c"))
+    """Members of small nodes, and of the blocks of large ones, that have a candidate of another component there."""
+    rows = vertices.select("v", "n", _keys(1)).join(first, "v", "left").select("tree", "key", "v", "n", F.coalesce("c", "v").alias("c"))
     out: list[DataFrame] = []
     for level in range(1, DEPTH + 1):
-        mixed = rows.groupBy("key").agg(F.count("*").alias("members"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key", "members")
+        mixed = rows.groupBy("key").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key", "members", "shingles")
         rows = written(rows.join(mixed, "key"), f"level{level}")
-        small = rows.where(F.col("members") <= SMALL).select("key", "v", "c", F.lit(0).alias("part"))
+        is_small = (F.col("members") <= SMALL) & (F.col("shingles") <= SHINGLES)
+        out.append(rows.where(is_small).select("key", "v", "c", F.lit(0).alias("part")))
+        large = rows.where(~is_small).drop("members", "shingles")
+        if large.isEmpty():
+            break
         if level == DEPTH:
-            parts = F.ceil(F.col("members") / max(1, SMALL // 8)).cast("int")
-            own = F.pmod(F.xxhash64("v"), parts).cast("int")
-            cells = rows.where(F.col("members") > SMALL).withColumns({"parts": parts, "own": own}).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-            small = small.unionByName(cells.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "v", "c", F.col("own").alias("part")))
-        out.append(small.select("key", "v", "c", "part"))
-        large = rows.where(F.col("members") > SMALL)
-        if level == DEPTH or large.isEmpty():
+            out.append(_blocks(large))
             break
         deeper = vertices.select("v", F.col(f"p{level + 1}").alias("p"))
-        rows = large.join(deeper, "v").select("tree", F.element_at("p", F.col("tree") + 1).alias("key"), "v", "c")
+        rows = large.join(deeper, "v").select("tree", F.element_at("p", F.col("tree") + 1).alias("key"), "v", "n", "c")
     every = out[0]
     for x in out[1:]:
         every = every.unionByName(x)
     return node_members(every.join(vertices.select("v", "n", "sketch"), "v"), threshold)
 
 
+def _blocks(rows: DataFrame) -> DataFrame:
+    """(key, v, c, part) of the blocks in which the members of large nodes (tree, key, v, n, c) are compared.
+
+    Pairs inside a node's largest component need no comparing. Its members are dealt out in parts, the others' too, and
+    a block holds one part of the others with one part of either: with few others, each member of a large component
+    is in one block."""
+    sizes = rows.groupBy("key", "c").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
+    top = sizes.groupBy("key").agg(F.max_by("c", F.struct("members", "c")).alias("most"))
+    parts = lambda own: F.greatest(F.ceil(F.sum(F.when(own, F.col("members")).otherwise(0)) / (SMALL // 2)), F.ceil(F.sum(F.when(own, F.col("shingles")).otherwise(0)) / (SHINGLES // 2)), F.lit(1)).cast("int")
+    is_most = F.col("c") == F.col("most")
+    shape = written(sizes.join(top, "key").groupBy("key", "most").agg(parts(is_most).alias("whole"), parts(~is_most).alias("others")), "shapes")
+    placed = rows.join(shape, "key").withColumn("own", F.pmod(F.xxhash64("v"), F.when(is_most, F.col("whole")).otherwise(F.col("others"))).cast("int"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    most = placed.where(is_most).withColumn("with", F.explode(upto("others"))).select(F.xxhash64("key", F.lit(0), "own", "with").alias("key"), "v", "c", F.lit(0).alias("part"))
+    across = placed.where(~is_most).withColumn("with", F.explode(upto("whole"))).select(F.xxhash64("key", F.lit(0), "with", "own").alias("key"), "v", "c", F.lit(1).alias("part"))
+    inner = placed.where(~is_most).withColumn("with", F.explode(upto("others"))).select(F.xxhash64("key", F.lit(1), F.least("own", "with"), F.greatest("own", "with")).alias("key"), "v", "c", F.col("own").alias("part"))
+    return most.unionByName(across).unionByName(inner)
+
+
 def near_groups(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, n (size of its set), component_id of each row."""
     tune(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = written(signatures(own, words), "signatures")
     filled = signed.where("n > 0 and doc_id is not null")
-    classes = filled.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("v"))
+    classes = written(filled.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("v"), F.count("*").alias("copies")), "copies")
+    total = classes.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    is_hot = F.col("copies") * HOT > total  # fewer than HOT classes
     hold = lambda c: F.when(F.col("doc_id") == F.col("v"), F.col(c)).alias(c)
-    classed = written(filled.join(classes, ["h1", "h2", "n"]).select("doc_id", "n", "v", *map(hold, ("sketch", *(f"p{d}" for d in range(1, DEPTH + 1))))), "classes")
+    hot = classes.where(is_hot).select(*(F.col(c).alias(f"hot_{c}") for c in ("h1", "h2", "n", "v")))
+    split = filled.join(F.broadcast(hot), (F.col("h1") == F.col("hot_h1")) & (F.col("h2") == F.col("hot_h2")) & (F.col("n") == F.col("hot_n")), "left")
+    kept = lambda df: df.select("doc_id", "n", "v", *map(hold, ("sketch", *(f"p{d}" for d in range(1, DEPTH + 1)))))
+    in_hot = kept(split.where("hot_v is not null").withColumn("v", F.col("hot_v")))
+    rest = kept(split.where("hot_v is null").join(classes.where(~is_hot).drop("copies"), ["h1", "h2", "n"]))
+    classed = written(in_hot.unionByName(rest), "classes")
     alone = written(signed.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id")), "alone")
     drop_table(signed)
     vertices = classed.where("doc_id = v").drop("doc_id")
@@ -317,7 +367,7 @@ def near_groups(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD)
     rows = vertices.select("v", _keys(1)).drop("tree")
     heads = rows.groupBy("key").agg(F.count("*").alias("members"), F.min("v").alias("a")).where("members > 1").drop("members")
     stars = rows.join(heads, "key").where("v > a").select("a", F.col("v").alias("b")).distinct()
-    near = written(similar_pairs(stars, vertices, threshold).withColumn("key", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.lit(STAR)))), "stars")
+    near = written(similar_pairs(stars, vertices, threshold), "stars")
     links = written(_confirmed(near, own, words, threshold), "links")
     first = components(links)
 
@@ -354,8 +404,9 @@ def sifted(own: DataFrame, wanted: DataFrame) -> DataFrame:
 def near_dedup(docs: DataFrame, words: int = 5, threshold: int = THRESHOLD) -> DataFrame:
     """The rows of docs, in all their columns, without those of a doc_id that isn't its component's smallest: one
     document of each group stays (with all its rows, if its doc_id repeats)."""
-    gone = near_groups(docs, words, threshold).where("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    gone = near_groups(docs, words, threshold).where("doc_id != component_id").select(F.col("doc_id").alias("gone")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"))
+    return rows.join(gone, F.col("id") == F.col("gone"), "left_anti").select("row.*")
 
 
 def op2(docs: DataFrame) -> DataFrame:
