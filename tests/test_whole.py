@@ -21,11 +21,11 @@ def test_bitemporal_queries_read_all_orders(spark):
         of.setdefault(customer, []).append(key)
     length = 100 * 86400 * 10**9
     pairs = {(c, a, b) for c, keys in of.items() for a in keys for b in keys if a < b and abs(starts[a] - starts[b]) < length}
-    assert {tuple(r) for r in QUERIES["JN11_overlaps_whole"](spark, SF).collect()} == pairs
-    assert {r.o_orderkey for r in QUERIES["JN09_snapshot_whole"](spark, SF).collect()} == set(starts)
+    assert {tuple(r) for r in QUERIES["JN11_overlaps"](spark, SF).collect()} == pairs
+    assert {r.o_orderkey for r in QUERIES["JN09_snapshot"](spark, SF).collect()} == set(starts)
     at = 883612800 * 10**9
-    assert {r.o_orderkey for r in QUERIES["JN10_as_of_whole"](spark, SF).collect()} == {k for k, t in starts.items() if t <= at < t + 2 * length}
-    assert [tuple(r) for r in QUERIES["JN13_commit_as_of_whole"](spark, SF).collect()] == [(300, len(starts))]
+    assert {r.o_orderkey for r in QUERIES["JN10_as_of"](spark, SF).collect()} == {k for k, t in starts.items() if t <= at < t + 2 * length}
+    assert [tuple(r) for r in QUERIES["JN13_commit_as_of"](spark, SF).collect()] == [(300, len(starts))]
 
 
 def test_beneficial_owners_of_all_customers(spark, tmp_path):
@@ -37,7 +37,7 @@ def test_beneficial_owners_of_all_customers(spark, tmp_path):
             want[company, at] = want.get((company, at), 0.0) + share
         else:
             paths += [(company, 2 * at + 1, share * 0.6), (company, 2 * at + 2, share * 0.4)]
-    got = {(r.company, r.owner): r.share for r in QUERIES["LE18_beneficial_owners_whole"](spark, str(tmp_path)).collect()}
+    got = {(r.company, r.owner): r.share for r in QUERIES["LE18_beneficial_owners"](spark, str(tmp_path)).collect()}
     assert got == pytest.approx({k: x for k, x in want.items() if x >= 0.05}, abs=1e-6)
 
 
@@ -53,7 +53,7 @@ def test_beneficial_owners_at_the_end_of_a_long_chain(spark):
 def test_transactions_of_all_amounts(spark, monkeypatch):
     events = spark.read.parquet(f"{SF}/events.parquet").toPandas()
     dst = (events["event_id"] * 7919 + events["user_id"] * 31) % 150
-    totals = QUERIES["LE16_transaction_totals_whole"](spark, SF).toPandas()
+    totals = QUERIES["LE16_transaction_totals"](spark, SF).toPandas()
     assert totals.groupby("dim")["n"].sum().to_dict() == {"channel": len(events), "jurisdiction": len(events)}
     assert totals[totals["dim"] == "channel"].set_index("key")["total"].to_dict() == pytest.approx(events.groupby("event_type")["value"].sum().to_dict(), abs=0.02)
 
@@ -63,7 +63,7 @@ def test_transactions_of_all_amounts(spark, monkeypatch):
         hops |= {int(events["event_id"][i]): hop for i in taken}
         frontier = {int(dst[i]) for i in taken} - near
         near |= frontier
-    assert {r.tx_id: r.hop for r in QUERIES["LE17_explanation_subgraph_whole"](spark, SF).collect()} == hops
+    assert {r.tx_id: r.hop for r in QUERIES["LE17_explanation_subgraph"](spark, SF).collect()} == hops
 
     seen, snapshot = [], E.case_snapshot
     monkeypatch.setattr(E, "case_snapshot", lambda df, *more: seen.append(df.count()) or snapshot(df, *more))

@@ -220,10 +220,10 @@ def hybrid_score(scores: Sequence[Column], weights: Sequence[float]) -> Column:
 
 
 def false_positive_rate(df: DataFrame, score: str, outcome: str, threshold: float) -> DataFrame:
-    """(alerts, false_positives, rate) over the rows with a conclusive outcome (true or false)."""
+    """(alerts, false_positives, rate) over the rows with a conclusive outcome (true or false); without any, no rate."""
     held = df.where(F.col(outcome).isNotNull() & (F.col(score) >= threshold))
     wrong = F.count(F.when(~F.col(outcome), 1))
-    return held.agg(F.count("*").alias("alerts"), wrong.alias("false_positives"), safe(wrong.cast("double"), F.count("*"), F.lit(0.0)).alias("rate"))
+    return held.agg(F.count("*").alias("alerts"), wrong.alias("false_positives"), safe(wrong.cast("double"), F.count("*")).alias("rate"))
 
 
 def suggest_threshold(df: DataFrame, score: str, outcome: str, target: float, steps: int = 20) -> DataFrame:

@@ -68,30 +68,19 @@ def _trades(spark, d):
     return li.select((F.col("l_suppkey") % 40).alias("netting_set"), (F.col("l_partkey") % 5).alias("hedging_set"), (F.col("l_extendedprice") * (F.col("l_discount") - 0.05)).alias("value"), (F.col("l_tax") * 1000).alias("collateral"), F.col("l_extendedprice").alias("notional"), F.lit(0.005).alias("factor"), F.when(F.col("l_returnflag") == "R", -1.0).otherwise(1.0).alias("delta"))
 
 
-def _all_transactions(spark, d):
+def _transactions(spark, d):
     e = table(spark, d, "events")
     return e.select(F.col("event_id").alias("tx_id"), F.col("user_id").alias("src"), F.pmod(F.col("event_id") * 7919 + F.col("user_id") * 31, F.lit(150)).alias("dst"), F.col("value").alias("amount"), F.col("event_type").alias("channel"), (F.col("user_id") % 7).alias("jurisdiction"))
 
 
-def _transactions(spark, d):
-    """The larger ones, as the SQL beside the queries without _whole reads."""
-    return _all_transactions(spark, d).where("amount > 120")
-
-
-TX = "tx AS (SELECT event_id AS tx_id, user_id AS src, (event_id * 7919 + user_id * 31) % 150 AS dst, value AS amount, event_type AS channel, user_id % 7 AS jurisdiction FROM events WHERE value > 120)"
-ALL_TX = "tx AS (SELECT event_id AS tx_id, user_id AS src, (event_id * 7919 + user_id * 31) % 150 AS dst, value AS amount, event_type AS channel, user_id % 7 AS jurisdiction FROM events)"
+TX = "tx AS (SELECT event_id AS tx_id, user_id AS src, (event_id * 7919 + user_id * 31) % 150 AS dst, value AS amount, event_type AS channel, user_id % 7 AS jurisdiction FROM events)"
 
 
-def _all_stakes(spark, d):
+def _stakes(spark, d):
     """Every customer is owned by the two of twice its number plus 1 and 2; numbers without a customer have no owner."""
     return _stakes_of(table(spark, d, "customer").select(F.col("c_custkey").alias("k")))
 
 
-def _stakes(spark, d):
-    """Those of the first customers, as the SQL beside LE18_beneficial_owners reads."""
-    return _stakes_of(table(spark, d, "customer").select(F.col("c_custkey").alias("k")).where("k < 300"))
-
-
 def _stakes_of(c):
     return c.select((F.col("k") * 2 + 1).alias("owner"), F.col("k").alias("owned"), F.lit(0.6).alias("pct")).unionByName(c.select((F.col("k") * 2 + 2).alias("owner"), F.col("k").alias("owned"), F.lit(0.4).alias("pct")))
 
@@ -158,22 +147,8 @@ SELECT ns AS netting_set, {rs('rc', 4)} AS rc, {rs('addon', 4)} AS addon, {rs('m
         lambda spark, d: E.explanation_subgraph(_transactions(spark, d), spark.createDataFrame([(5,)], "id long"), 3),
         f"WITH RECURSIVE {TX}, w AS (SELECT 0 AS hop, 5::BIGINT AS id UNION SELECT hop + 1, tx.dst FROM w JOIN tx ON tx.src = w.id WHERE hop < 3), f AS (SELECT id, min(hop) AS hop FROM w GROUP BY id) SELECT tx_id, (hop + 1)::INT AS hop FROM tx JOIN f ON f.id = tx.src WHERE hop < 3",
     ),
-    "LE16_transaction_totals_whole": (
-        lambda spark, d: _rounded(E.transaction_totals(_all_transactions(spark, d), ["channel", "jurisdiction"]), "total", digits=2),
-        f"WITH {ALL_TX} SELECT 'channel' AS dim, channel AS key, {rs('sum(amount)', 2)} AS total, count(*) AS n FROM tx GROUP BY 2 UNION ALL SELECT 'jurisdiction', jurisdiction::VARCHAR, {rs('sum(amount)', 2)}, count(*) FROM tx GROUP BY 2",
-    ),
-    "LE17_explanation_subgraph_whole": (
-        lambda spark, d: E.explanation_subgraph(_all_transactions(spark, d), spark.createDataFrame([(5,)], "id long"), 3),
-        f"WITH RECURSIVE {ALL_TX}, w AS (SELECT 0 AS hop, 5::BIGINT AS id UNION SELECT hop + 1, tx.dst FROM w JOIN tx ON tx.src = w.id WHERE hop < 3), f AS (SELECT id, min(hop) AS hop FROM w GROUP BY id) SELECT tx_id, (hop + 1)::INT AS hop FROM tx JOIN f ON f.id = tx.src WHERE hop < 3",
-    ),
     "LE18_beneficial_owners": (
         lambda spark, d: _rounded(E.beneficial_owners(_stakes(spark, d), 0.05), "share", digits=6),
-        f"""WITH RECURSIVE s AS (SELECT c_custkey * 2 + 1 AS owner, c_custkey AS owned, 0.6::DOUBLE AS pct FROM customer WHERE c_custkey < 300 UNION ALL SELECT c_custkey * 2 + 2, c_custkey, 0.4 FROM customer WHERE c_custkey < 300),
-p AS (SELECT owned AS company, owner, pct AS share FROM s UNION ALL SELECT company, s.owner, share * pct FROM p JOIN s ON s.owned = p.owner)
-SELECT company, owner, {rs('sum(share)')} AS share FROM p WHERE owner NOT IN (SELECT owned FROM s) GROUP BY company, owner HAVING sum(share) >= 0.05""",
-    ),
-    "LE18_beneficial_owners_whole": (
-        lambda spark, d: _rounded(E.beneficial_owners(_all_stakes(spark, d), 0.05), "share", digits=6),
         f"""WITH RECURSIVE s AS (SELECT c_custkey * 2 + 1 AS owner, c_custkey AS owned, 0.6::DOUBLE AS pct FROM customer UNION ALL SELECT c_custkey * 2 + 2, c_custkey, 0.4 FROM customer),
 p AS (SELECT owned AS company, owner, pct AS share FROM s UNION ALL SELECT company, s.owner, share * pct FROM p JOIN s ON s.owned = p.owner)
 SELECT company, owner, {rs('sum(share)')} AS share FROM p WHERE owner NOT IN (SELECT owned FROM s) GROUP BY company, owner HAVING sum(share) >= 0.05""",
@@ -190,5 +165,5 @@ SELECT company, owner, {rs('sum(share)')} AS share FROM p WHERE owner NOT IN (SE
         lambda spark, d: E.suggest_threshold(_alerts(spark, d), "score", "outcome", 0.5),
         f"WITH {ALERTS}, g AS (SELECT k, (SELECT coalesce(avg((NOT outcome)::INT), 0) FROM al WHERE outcome IS NOT NULL AND floor(score * 20 + 1e-9) >= k) AS rate FROM (SELECT unnest(range(21)) AS k)) SELECT min(k) / 20.0::DOUBLE AS threshold FROM g WHERE rate <= 0.5",
     ),
-    "LE20_case_snapshot": (lambda spark, d: E.case_snapshot(_all_transactions(spark, d), "jurisdiction", "tx_id").select("jurisdiction", F.length("digest").alias("n")), f"WITH {TX} SELECT DISTINCT jurisdiction, 64 AS n FROM tx"),
+    "LE20_case_snapshot": (lambda spark, d: E.case_snapshot(_transactions(spark, d), "jurisdiction", "tx_id").select("jurisdiction", F.length("digest").alias("n")), f"WITH {TX} SELECT DISTINCT jurisdiction, 64 AS n FROM tx"),
 }
