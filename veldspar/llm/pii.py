@@ -44,8 +44,8 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 #: Windows of training, windows of tagging and how much two of them share, and windows that are computed together.
 TRAIN_WINDOW, WINDOW, SHARED, ROWS = 96, 384, 48, 2048
-EMBED, HIDDEN, TAGS = 12, 16, 1 + 2 * len(KINDS)
-TRAIN_TEXTS, MADE, EPOCHS, BATCH, RATE, SEED = 300, 600, 10, 16, 0.016, 5
+EMBED, HIDDEN, TAGS = 12, 12, 1 + 2 * len(KINDS)
+TRAIN_TEXTS, MADE, EPOCHS, BATCH, RATE, SEED = 300, 600, 14, 16, 0.016, 5
 
 
 def digits(text: str) -> str:
