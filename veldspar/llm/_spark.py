@@ -40,6 +40,8 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not folder:
         kept = spark.sparkContext.getCheckpointDir()
+        if not kept and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = kept or f"file://{tempfile.mkdtemp(prefix='veldspar-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
