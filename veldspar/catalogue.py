@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules of veldspar.plans, each with QUERIES: name -> (function(spark, sf_dir), SQL or None).
-MODULES: tuple[str, ...] = ("relational", "rolling", "values", "relations", "exposures", "money", "operations", "forecasts")
+MODULES: tuple[str, ...] = ("relational", "rolling", "values", "relations", "exposures", "money", "operations", "forecasts", "support")
 
 
 def _all() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:

@@ -10,6 +10,8 @@ from pyspark.sql.types import StructType
 
 from veldspar.engine import Engine
 
+from .store import TableStore
+
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
     """With a header; the schema is inferred once unless it is given."""
@@ -35,6 +37,28 @@ def refresh(engine: Engine, name: str, path: str, schema) -> DataFrame:
     return engine.register(name, engine.spark.read.schema(schema).parquet(path))
 
 
+def persist(engine: Engine, name: str, query: str, root: str) -> DataFrame:
+    """A query's result as a table that later engines find under root; one commit, so it is there whole or not at all."""
+    store = TableStore(engine.spark, root)
+    store.commit(name, engine.sql(query), "overwrite")
+    return engine.register(name, store.scan(name))
+
+
+def restore(engine: Engine, root: str) -> list[str]:
+    """Registers the tables kept under root; their names in order."""
+    store = TableStore(engine.spark, root)
+    found = [n for n in store.tables() if store.log(n)[-1]["mode"] != "delete"]
+    for name in found:
+        engine.register(name, store.scan(name))
+    return found
+
+
+def forget(engine: Engine, name: str, root: str) -> None:
+    """Drops the table here and under root; scans as of earlier times still find it there."""
+    TableStore(engine.spark, root).commit(name, None, "delete")
+    engine.drop(name)
+
+
 # --- a store by date and symbol
 
 

@@ -84,6 +84,11 @@ class Pipeline:
     def data(self) -> DataFrame:
         return self.spark.read.option("mergeSchema", True).parquet(f"{self.folder}/data")
 
+    def offsets(self) -> DataFrame:
+        """(source, partition, offset): the last offset of each, whether its row was published or refused."""
+        both = self.data().select("source", "partition", "offset").unionByName(self.dead_letters().select("source", "partition", "offset"))
+        return both.groupBy("source", "partition").agg(F.max("offset").alias("offset"))
+
     def dead_letters(self) -> DataFrame:
         return self.spark.read.option("mergeSchema", True).parquet(f"{self.folder}/dlq")
 
