@@ -7,7 +7,7 @@ Curves: (tenor_days, zero_rate); they and all other parameter tables are small a
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -101,11 +101,12 @@ def unresolved(rows: DataFrame, attribute: str, target: DataFrame, as_of: int) -
 
 def zero_rate(curve: Sequence[tuple[float, float]], days: Column) -> Column:
     """Linear between the tenors of curve (days, rate), flat beyond its ends."""
-    points = sorted(curve)
-    out = F.lit(float(points[-1][1]))
+    points = sorted(curve, key=lambda p: p[0])
+    points = [(t, x if isinstance(x, Column) else F.lit(float(x))) for t, x in points]
+    out = points[-1][1]
     for (t0, r0), (t1, r1) in reversed(list(zip(points, points[1:], strict=False))):
         out = F.when(days < t1, r0 + (r1 - r0) * (days - t0) / float(t1 - t0)).otherwise(out)
-    return F.when(days <= points[0][0], F.lit(float(points[0][1]))).otherwise(out)
+    return F.when(days <= points[0][0], points[0][1]).otherwise(out)
 
 
 def discount(curve: Sequence[tuple[float, float]], days: Column, basis: int = 365) -> Column:
@@ -274,6 +275,24 @@ def swaption(curve: Sequence[tuple[float, float]], expiry: Column, payments: Seq
     return black76(rate, strike, vol, expiry / 365.0, annuity, payer)
 
 
+#: Fixed value: what implied volatilities are multiplied by when options are valued under a shock.
+VOL_BUMP = 1.25
+
+
+def shifted_curve(curve: Sequence[tuple[float, float]], scenario: str, currency: str, year: int = 2026, basis: int = 365) -> list[tuple[float, Column]]:
+    """The curve's points after the scenario's shock at their maturities, floored; rates are constant expressions."""
+    return [(t, shocked_rate(F.lit(float(x)), scenario, currency, F.lit(t / basis), year)) for t, x in sorted(curve)]
+
+
+def option_risk(options: DataFrame, value: Callable[[Sequence[tuple[float, float | Column]], Column], Column], curve: Sequence[tuple[float, float]], currency: str, vol: str = "vol", year: int = 2026, bump: float = VOL_BUMP) -> DataFrame:
+    """(scenario, base, shocked, risk) of a portfolio under the six shocks: its value on the curve less that on the shifted
+    curve with all volatilities times bump; a loss is positive. value(curve, vol) prices a row. One pass over the options."""
+    base = value(curve, F.col(vol))
+    each = [F.struct(F.lit(s).alias("scenario"), base.alias("base"), value(shifted_curve(curve, s, currency, year), F.col(vol) * bump).alias("shocked")) for s in SCENARIOS]
+    rows = options.select(F.explode(F.array(*each)).alias("x")).groupBy("x.scenario").agg(F.sum("x.base").alias("base"), F.sum("x.shocked").alias("shocked"))
+    return rows.withColumn("risk", F.col("base") - F.col("shocked"))
+
+
 # --- transfer prices
 
 

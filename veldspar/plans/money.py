@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from veldspar.operators import banking as B
 from veldspar.operators import trading as T
 
 from ._base import BARS, Query, W, bars, last, r, rs, series, table
+from .values import _cdf
 
 
 def _orders_stream(spark, d):
@@ -49,15 +52,56 @@ CELLS = """WITH cells AS (SELECT l_returnflag AS scenario_id, ['USD', 'EUR', 'HK
 CURVE = [(30, 0.02), (365, 0.025), (1825, 0.03), (3650, 0.035)]
 
 
-def _zero(t: str) -> str:
-    out = repr(CURVE[-1][1]) + "::DOUBLE"
-    for (a, x), (b, y) in reversed(list(zip(CURVE, CURVE[1:], strict=False))):
+def _zero(t: str, curve: list[tuple[float, float]] = CURVE) -> str:
+    out = repr(curve[-1][1]) + "::DOUBLE"
+    for (a, x), (b, y) in reversed(list(zip(curve, curve[1:], strict=False))):
         out = f"CASE WHEN {t} < {b} THEN {x!r}::DOUBLE + {y - x!r}::DOUBLE * ({t} - {a}) / {float(b - a)!r}::DOUBLE ELSE {out} END"
-    return f"(CASE WHEN {t} <= {CURVE[0][0]} THEN {CURVE[0][1]!r}::DOUBLE ELSE {out} END)"
+    return f"(CASE WHEN {t} <= {curve[0][0]} THEN {curve[0][1]!r}::DOUBLE ELSE {out} END)"
+
+
+def _df(t: str, curve: list[tuple[float, float]] = CURVE) -> str:
+    return f"exp(-{_zero(t, curve)} * {t} / 365.0::DOUBLE)"
+
+
+def _caps(spark, d):
+    return table(spark, d, "part").select("p_partkey", (F.col("p_size") * 30.0).alias("a"), (F.lit(0.02) + F.col("p_size") / 2500.0).alias("k"), F.lit(0.25).alias("vol"))
+
+
+def _black(name: str, rows: str, f: str, k: str, vol: str, years: str, df: str) -> str:
+    """Steps of a WITH over rows (p_partkey, ...): name(p_partkey, call, put) by Black's formula."""
+    return f"""{name}_f AS (SELECT p_partkey, {f} AS f, {k} AS k, {vol} * sqrt({years}) AS root, {df} AS df FROM {rows}),
+{name}_d AS (SELECT *, f > 0 AS live, CASE WHEN f > 0 THEN (ln(f / k) + 0.5::DOUBLE * root * root) / root END AS d1 FROM {name}_f), {name}_e AS (SELECT *, d1 - root AS d2 FROM {name}_d),
+{name} AS (SELECT p_partkey, df * CASE WHEN live THEN f * {_cdf('d1')} - k * {_cdf('d2')} ELSE greatest(f - k, 0) END AS call, df * CASE WHEN live THEN k * {_cdf('-d2')} - f * {_cdf('-d1')} ELSE greatest(k - f, 0) END AS put FROM {name}_e)"""
+
+
+def _cap_steps(name: str, strike: str, vol: float, curve: list[tuple[float, float]] = CURVE) -> str:
+    tau = "(90 / 365.0::DOUBLE)"
+    return f"{name}_r AS (SELECT p_partkey, p_size, p_size * 30.0::DOUBLE AS a, p_size * 30.0::DOUBLE + 90 AS b FROM part), {name}_s AS (SELECT *, {_df('a', curve)} AS da, {_df('b', curve)} AS db FROM {name}_r), " + _black(name, f"{name}_s", f"(da / db - 1) / {tau}", strike, f"{vol!r}::DOUBLE", "a / 365.0::DOUBLE", f"{tau} * da")
+
+
+STRIKE = "0.02::DOUBLE + p_size / 2500.0::DOUBLE"
+ANNUITY = " + ".join(_df(str(t)) for t in (730, 1095, 1460))
+SWAP = "WITH sw AS (SELECT p_partkey, p_size, " + ANNUITY + f" AS ann, {_df('365')} AS d0, {_df('1460')} AS d3 FROM part), " + _black("o", "sw", "(d0 - d3) / ann", STRIKE, "0.3::DOUBLE", "1.0::DOUBLE", "ann")
+RISK_SCENARIOS = ("parallel_up", "parallel_down", "steepener", "flattener", "short_up", "short_down")
+
+
+def _shifted(scenario: str) -> list[tuple[float, float]]:
+    """The curve after a shock of Hong Kong dollars."""
+    parallel, short, long_ = (x / 1e4 for x in B.SHOCKS_2026["HKD"])
+    out = []
+    for t, x in CURVE:
+        decay = math.exp(-t / 365 / 4)
+        moves = (parallel, -parallel, -0.65 * short * decay + 0.9 * long_ * (1 - decay), 0.8 * short * decay - 0.6 * long_ * (1 - decay), short * decay, -short * decay)
+        out.append((t, max(x + moves[RISK_SCENARIOS.index(scenario)], -0.02)))
+    return out
+
+
+def _option_risk(spark, d):
+    price = lambda curve, vol: B.caplet(curve, F.col("a"), F.col("a") + 90, F.col("k"), vol)
+    return B.option_risk(_caps(spark, d), price, CURVE, "HKD").select("scenario", r("base", 4).alias("base"), r("shocked", 4).alias("shocked"), r("risk", 4).alias("risk"))
 
 
-def _df(t: str) -> str:
-    return f"exp(-{_zero(t)} * {t} / 365.0::DOUBLE)"
+OPTION_RISK = "WITH " + ", ".join([_cap_steps("base0", STRIKE, 0.25), *(_cap_steps(x, STRIKE, 0.3125, _shifted(x)) for x in RISK_SCENARIOS)]) + " " + " UNION ALL ".join(f"SELECT '{x}' AS scenario, {rs('b', 4)} AS base, {rs('s', 4)} AS shocked, {rs('b - s', 4)} AS risk FROM (SELECT (SELECT sum(call) FROM base0) AS b, (SELECT sum(call) FROM {x}) AS s)" for x in RISK_SCENARIOS)
 
 
 def _tree(spark, d):
@@ -192,8 +236,9 @@ SELECT sym, side::INT AS side, level::INT AS level, cents / 100.0::DOUBLE AS pri
         f"SELECT c_custkey, {rs('c_acctbal * 0.7::DOUBLE', 4)} AS core, {rs('c_acctbal - c_acctbal * 0.7::DOUBLE', 4)} AS non_core FROM customer",
     ),
     "RSK17_prepayment_bands": (lambda spark, d: table(spark, d, "supplier").select("s_suppkey", F.explode(B.prepayment_bands(F.array(*(F.col("s_acctbal") * x for x in (0.2, 0.3, 0.5))), 0.1)).alias("cf")).groupBy("s_suppkey").agg(r(F.sum("cf"), 4).alias("total")), None),
-    "RSK18_caplet": (lambda spark, d: table(spark, d, "part").select("p_partkey", r(B.caplet(CURVE, F.col("p_size") * 30.0, F.col("p_size") * 30.0 + 90, F.lit(0.03), F.lit(0.25))).alias("cap"), r(B.caplet(CURVE, F.col("p_size") * 30.0, F.col("p_size") * 30.0 + 90, F.lit(0.03), F.lit(0.25), False)).alias("floor")), None),
-    "RSK19_swaption": (lambda spark, d: table(spark, d, "part").select("p_partkey", r(B.swaption(CURVE, F.lit(365.0), [730, 1095, 1460], F.lit(0.02) + F.col("p_size") / 2500.0, F.lit(0.3))).alias("payer")), None),
+    "RSK18_caplet": (lambda spark, d: table(spark, d, "part").select("p_partkey", r(B.caplet(CURVE, F.col("p_size") * 30.0, F.col("p_size") * 30.0 + 90, F.lit(0.03), F.lit(0.25))).alias("cap"), r(B.caplet(CURVE, F.col("p_size") * 30.0, F.col("p_size") * 30.0 + 90, F.lit(0.03), F.lit(0.25), False)).alias("floor")), "WITH " + _cap_steps("o", "0.03::DOUBLE", 0.25) + f" SELECT p_partkey, {rs('call')} AS cap, {rs('put')} AS floor FROM o"),
+    "RSK19_swaption": (lambda spark, d: table(spark, d, "part").select("p_partkey", r(B.swaption(CURVE, F.lit(365.0), [730, 1095, 1460], F.lit(0.02) + F.col("p_size") / 2500.0, F.lit(0.3))).alias("payer")), SWAP + f" SELECT p_partkey, {rs('call')} AS payer FROM o"),
+    "RSK20_option_risk": (_option_risk, OPTION_RISK),
     "RSK21_ftp_price": (lambda spark, d: _ftp(spark, d).select("trade_id", r("rate").alias("rate")), FTP + f" SELECT trade_id, {rs('rate')} AS rate FROM ftp"),
     "RSK22_ftp_reconcile": (
         lambda spark, d: B.ftp_reconcile(_ftp(spark, d), table(spark, d, "orders").select(F.col("o_orderkey").alias("trade_id"), (F.col("o_orderkey") % 40 / 1000.0).alias("actual")), 0.005).agg(F.count("*").alias("n"), F.count(F.when(F.col("ok"), 1)).alias("ok"), r(F.sum("difference"), 4).alias("total")),
