@@ -250,29 +250,42 @@ def prepayment_bands(schedule: Column, rate: float) -> Column:
     return F.aggregate(schedule, start, step, lambda s: s["out"])
 
 
+def _let(fn: Callable[[Column], Column], **values: Column) -> Column:
+    """fn of a struct of values, each evaluated once however often fn names it."""
+    return F.element_at(F.transform(F.array(F.struct(*(v.alias(k) for k, v in values.items()))), fn), 1)
+
+
 def black76(forward: Column, strike: Column, vol: Column, years: Column, df: Column, call: bool = True) -> Column:
     """Discounted Black price of a call or put on a forward; intrinsic without volatility, time or a positive strike."""
     sign = 1.0 if call else -1.0
-    live = (vol > 0) & (years > 0) & (strike > 0) & (forward > 0)
-    root = F.when(live, vol * F.sqrt(years))
-    d1 = (F.ln(F.when(live, forward / F.when(strike > 0, strike))) + 0.5 * root * root) / root
-    value = sign * (forward * norm_cdf(sign * d1) - strike * norm_cdf(sign * (d1 - root)))
-    return df * F.when(live, value).otherwise(F.greatest(sign * (forward - strike), F.lit(0.0)))
 
+    def price(x: Column) -> Column:
+        live = (x["vol"] > 0) & (x["years"] > 0) & (x["k"] > 0) & (x["f"] > 0)
+        root = F.when(live, x["vol"] * F.sqrt(x["years"]))
+        d1 = (F.ln(F.when(live, x["f"] / F.when(x["k"] > 0, x["k"]))) + 0.5 * root * root) / root
+        inner = F.greatest(sign * (x["f"] - x["k"]), F.lit(0.0))
+        value = _let(lambda d: sign * (x["f"] * norm_cdf(d["one"]) - x["k"] * norm_cdf(d["two"])), one=sign * d1, two=sign * (d1 - root))
+        return x["df"] * F.when(live, value).otherwise(inner)
+
+    return _let(price, f=forward, k=strike, vol=vol, years=years, df=df)
 
-def caplet(curve: Sequence[tuple[float, float]], start: Column, end: Column, strike: Column, vol: Column, call: bool = True) -> Column:
+
+def caplet(curve: Sequence[tuple[float, float | Column]], start: Column, end: Column, strike: Column, vol: Column, call: bool = True) -> Column:
     """On the simple forward rate between two days, discounted with the start day's factor, for the period's length."""
-    a, b, tau = discount(curve, start), discount(curve, end), (end - start) / 365.0
-    forward = (a / b - 1) / tau
-    return tau * black76(forward, strike, vol, start / 365.0, a, call)
+    tau = (end - start) / 365.0
+    return _let(lambda x: tau * black76((x["a"] / x["b"] - 1) / tau, strike, vol, start / 365.0, x["a"], call), a=discount(curve, start), b=discount(curve, end))
 
 
-def swaption(curve: Sequence[tuple[float, float]], expiry: Column, payments: Sequence[int], strike: Column, vol: Column, payer: bool = True) -> Column:
+def swaption(curve: Sequence[tuple[float, float | Column]], expiry: Column, payments: Sequence[int], strike: Column, vol: Column, payer: bool = True) -> Column:
     """On the swap rate over the payment days (from expiry on), paid by the annuity."""
     days = [expiry, *(F.lit(float(p)) for p in payments)]
-    annuity = sum(((b - a) / 365.0 * discount(curve, b) for a, b in zip(days, days[1:], strict=False)), F.lit(0.0))
-    rate = (discount(curve, expiry) - discount(curve, days[-1])) / annuity
-    return black76(rate, strike, vol, expiry / 365.0, annuity, payer)
+    factors = {f"d{i}": discount(curve, t) for i, t in enumerate(days)}
+
+    def price(x: Column) -> Column:
+        annuity = sum(((b - a) / 365.0 * x[f"d{i}"] for i, (a, b) in enumerate(zip(days, days[1:], strict=False), 1)), F.lit(0.0))
+        return _let(lambda y: black76((x["d0"] - x[f"d{len(days) - 1}"]) / y["annuity"], strike, vol, expiry / 365.0, y["annuity"], payer), annuity=annuity)
+
+    return _let(price, **factors)
 
 
 #: Fixed value: what implied volatilities are multiplied by when options are valued under a shock.
