@@ -7,6 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from veldspar.functions import scalars as C
+from veldspar.functions.series import ieee
 from veldspar.operators import aggregates as A
 
 from ._base import BARS, Query, W, bars, nanos, r, rs, series, table
@@ -47,7 +48,7 @@ HOUR = 3600 * 10**9
 
 def _returns(spark, d):
     s = series(spark, d)
-    return s.put("ret", F.col("c") / s.lag("c") - 1).df.where(F.col("ret").isNotNull())
+    return s.put("ret", ieee(F.col("c"), s.lag("c")) - 1).df.where(F.col("ret").isNotNull())
 
 
 def _wide(spark, d):
