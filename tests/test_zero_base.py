@@ -9,7 +9,7 @@ from veldspar import catalogue
 from veldspar.functions import series as S
 from veldspar.plans._base import r
 
-NAMES = ["AGG04_var_historical", "WIN12_momentum"]
+NAMES = ["AGG04_var_historical", "WIN12_momentum", "WIN25_hv"]
 
 
 @pytest.fixture(scope="module")
