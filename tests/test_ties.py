@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from veldspar import catalogue
 from veldspar.functions import series as S
@@ -25,3 +26,11 @@ def test_block_mavg(spark, n):
         assert x.blocks == pytest.approx(x.mavg, rel=1e-12), x.t
     with pytest.raises(ValueError):
         S.block_mavg(s, "c", 32)
+
+
+@pytest.mark.parametrize("parts", [1, 3, 8])
+def test_klines_take_the_same_rows_of_one_time(spark, tmp_path, parts):
+    """Whatever the order and the number of files."""
+    orders = spark.range(400).select(F.col("id").alias("o_orderkey"), F.lit(3).cast("long").alias("o_custkey"), (F.col("id") * 7919 % 400).cast("double").alias("o_totalprice"), F.lit("2001-01-01").cast("timestamp_ntz").alias("o_orderdate"))
+    orders.repartition(parts).write.parquet(f"{tmp_path}/orders.parquet")
+    assert [x.close for x in QUERIES["SRC16_klines"](spark, str(tmp_path)).collect()] == [float(x) for x in range(20)]

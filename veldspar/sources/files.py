@@ -107,6 +107,13 @@ KLINES = "code string, period string, ts long, open double, high double, low dou
 TICKS = "code string, ts long, price double, volume double, amount double, side string, bid double, ask double"
 
 
+def _newest(rows: DataFrame, schema: str, most: int) -> DataFrame:
+    """The `most` newest rows in order of ts; of rows of one ts those that are least by the other columns, in their order."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    others = [c for c in names if c != "ts"]
+    return rows.select(*names).orderBy(F.desc("ts"), *others).limit(most).orderBy("ts", *others)
+
+
 class Providers:
     """Named sources of bars and ticks: functions (spark, code, period or None) -> DataFrame. Reads go through a cache
     of files by provider, kind and code; the newest day of the cache can still change and is fetched again."""
@@ -130,11 +137,11 @@ class Providers:
         rows = self._source(provider, "klines")(self.spark, code, period).where((F.col("code") == code) & (F.col("period") == period) & (F.col("adjust") == adjust))
         rows = rows if start is None else rows.where(F.col("ts") >= start)
         rows = rows if end is None else rows.where(F.col("ts") <= end)
-        return rows.orderBy(F.desc("ts")).limit(most).orderBy("ts").select(*(c.split()[0] for c in KLINES.split(", ")))
+        return _newest(rows, KLINES, most)
 
     def ticks(self, provider: str, code: str, most: int = 500) -> DataFrame:
         rows = self._source(provider, "ticks")(self.spark, code, None).where(F.col("code") == code)
-        return rows.orderBy(F.desc("ts")).limit(most).orderBy("ts").select(*(c.split()[0] for c in TICKS.split(", ")))
+        return _newest(rows, TICKS, most)
 
     def cached(self, provider: str, kind: str, code: str, day: int = 86400 * 10**9) -> DataFrame:
         """All of a code's rows through the cache: the days before its newest one come from files, the rest is fetched and kept."""
