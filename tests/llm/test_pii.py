@@ -157,3 +157,15 @@ def test_whole_query(docs):
     assert len(got) == docs.count()
     assert {r.base_sha256 for r in got if r.n_email + r.n_ip + r.n_card + r.n_phone == 0} == {hashlib.sha256(b"").hexdigest()}
     assert P.op8(docs.limit(0)).collect() == []
+
+
+def test_scores_are_those_of_the_model():
+    """Tagging's layout (one product a step, runs of rows of one length) against the plain cells, each row on its own."""
+    rng = np.random.default_rng(3)
+    model = P.new_model(rng)
+    lengths = np.array([40, 40, 31, 31, 31, 7, 31, 1])
+    codes = rng.integers(0, P.SYMBOLS, (len(lengths), 40)).astype(np.uint8)
+    got = P.Tagger(model).scores(codes, lengths)
+    for row, n in enumerate(lengths):
+        want, _ = P.emissions(model, codes[row : row + 1, :n].astype(np.int64))
+        assert np.allclose(got[:n, :, row], want[:, 0], atol=1e-4)
