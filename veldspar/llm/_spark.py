@@ -9,8 +9,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that a Python kernel takes at a time (one longer text makes a block of its own).
-BLOCK_BYTES = 8 << 20
+#: Bytes of text that a Python kernel takes at a time (one longer text makes a block of its own). A kernel holds
+#: tens of times as much for its block, and two kernels run in each executor beside its JVM.
+BLOCK_BYTES = 2 << 20
 #: Rows and bytes of an Arrow batch on its way to Python.
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,8 +11,23 @@ import pyarrow as pa
 from ._spark import BLOCK_BYTES
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers are used again, and what the C library keeps of one stage's arrays would
+    add to what the next stage needs."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
+        trim(0)
+
+
 def blocks(batches: Iterator[pa.RecordBatch], column: int, most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
-    """The rows of batches anew, in blocks of about `most` bytes of that text column; no text is split."""
+    """The rows of batches anew, in blocks of about `most` bytes of that text column; no text is split. The outer loop of
+    a kernel: at its end, freed memory is given back."""
+    yield from cut(batches, column, most)
+    give_back()
+
+
+def cut(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """As blocks(), within a kernel."""
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
@@ -28,7 +44,6 @@ def blocks(batches: Iterator[pa.RecordBatch], column: int, most: int = BLOCK_BYT
                 held, size = [], 0
     if held:
         yield merged(held)
-    pa.default_memory_pool().release_unused()
 
 
 def merged(held: list[pa.RecordBatch]) -> pa.RecordBatch:

@@ -99,7 +99,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
     """Of each row: size and digest of its set, sketch, and the keys of its nodes by level, one for each tree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in X.blocks(batches, 1, 4 << 20):
+        for block in X.blocks(batches, 1, 1 << 20):
             sets = Sets(block.column(1), words)
             sums = []
             for salt in (0x243F6A8885A308D3, 0x13198A2E03707344):
@@ -134,6 +134,7 @@ def similar_pairs(pairs: DataFrame, vertices: DataFrame, threshold: int) -> Data
             if batch.num_rows:
                 near = (_sketches(batch.column(2)) == _sketches(batch.column(3))).sum(1) >= least
                 yield batch.select([0, 1]).filter(pa.array(near))
+        X.give_back()
 
     return sized.select("a", "b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
 
@@ -188,6 +189,7 @@ def node_members(rows: DataFrame, threshold: int) -> DataFrame:
                 held[i] = held[j] = True
             if held.any():
                 yield group.filter(pa.array(held))
+        X.give_back()
 
     return rows.select("key", "v", "c", "n", F.col("part").cast("int").alias("part"), "sketch").repartition("key").sortWithinPartitions("key").mapInArrow(run, NODE)
 
@@ -235,6 +237,8 @@ def node_links(members: DataFrame, texts: DataFrame, words: int, threshold: int)
             found = links(group, sets)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
+            del group, sets  # before the next node's are made
+        X.give_back()
 
     sent = members.join(texts, "v").select("key", "v", "c", "n", "part", "sketch", "text").repartition("key").sortWithinPartitions("key")
     return sent.mapInArrow(run, "a long, b long")
@@ -243,7 +247,7 @@ def node_links(members: DataFrame, texts: DataFrame, words: int, threshold: int)
 def _own_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
     """The set of each text, the texts taken a few at a time."""
     out: list[np.ndarray] = []
-    for block in X.blocks(iter([pa.RecordBatch.from_arrays([texts], names=["text"])]), 0, 1 << 20):
+    for block in X.cut(iter([pa.RecordBatch.from_arrays([texts], names=["text"])]), 0, 1 << 20):
         sets = Sets(block.column(0), words)
         out += [sets[i].copy() for i in range(len(sets))]
     return out
@@ -275,6 +279,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, threshold: int) ->
                     found.append((a[i], v[i]))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
+        X.give_back()
 
     sent = rows.unionByName(heads).join(texts, "v").select("a", "part", "role", "v", "text").repartition("a", "part").sortWithinPartitions("a", "part", "role")
     return sent.mapInArrow(run, "a long, b long")
